@@ -26,8 +26,12 @@ SHOP_ALIASES = {
 }
 
 
+def _or_now(when: Column | None) -> Column:
+    return F.current_timestamp() if when is None else when
+
+
 def _tag(df: DataFrame, source: str, collected_at: Column | None) -> DataFrame:
-    return df.withColumns({"source": F.lit(source), "collected_at": collected_at or F.current_timestamp()})
+    return df.withColumns({"source": F.lit(source), "collected_at": _or_now(collected_at)})
 
 
 def rename_available(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -73,7 +77,7 @@ def content_items(df: DataFrame, collected_at: Column | None = None) -> DataFram
         *([F.col("metadata")] if "metadata" in df.columns else [F.create_map().cast("map<string,string>").alias("metadata")]))
     extra = F.create_map(
         F.lit("content_id"), content_id(F.col("platform"), F.col("text"), F.col("user_id"), F.col("timestamp")),
-        F.lit("collected_at"), (collected_at or F.current_timestamp()).cast("string"))
+        F.lit("collected_at"), _or_now(collected_at).cast("string"))
     return base.withColumn("metadata", F.map_concat("metadata", extra))
 
 
@@ -103,7 +107,7 @@ def request_rows(df: DataFrame, received: Column | None = None) -> DataFrame:
     """Scoring rows: the text under both names, unreadable times replaced, extras never overriding base fields."""
     base = {"text", "review_text", "user_id", "date", "timestamp"}
     when = F.when(F.col("timestamp").isNotNull(),
-                  F.coalesce(D.parse(F.col("timestamp")), received or F.current_timestamp()))
+                  F.coalesce(D.parse(F.col("timestamp")), _or_now(received)))
     extras = F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*base))
     return df.select("request_id", "text", F.col("text").alias("review_text"), "user_id", when.alias("date"),
                      when.alias("timestamp"), extras.alias("extra"))

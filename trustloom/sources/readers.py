@@ -18,12 +18,14 @@ class NoRecordsError(RuntimeError):
 
 
 def json_lines(spark: SparkSession, path, ddl: str, pattern: str | None = None) -> DataFrame:
-    """Newline JSON; a line that does not parse keeps its text in ``_bad`` with all fields null."""
-    reader = spark.read.schema(f"{ddl}, {BAD} STRING").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", BAD)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.json(path)
+    """Newline JSON; a line that does not parse keeps its text in ``_bad`` with all fields null.
+
+    Lines are read as text and parsed by ``from_json``, so one plan can serve both the good and the bad lines.
+    """
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    lines = reader.text(path).where(F.trim("value") != "").select("value")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    return lines.select(F.from_json("value", f"{ddl}, {BAD} STRING", options).alias("r")).select("r.*")
 
 
 def good(df: DataFrame) -> DataFrame:
@@ -62,8 +64,9 @@ def named_files(spark: SparkSession, folder: str, names: list[str], ddl: str) ->
 
 
 def labelled_lines(spark: SparkSession, path) -> DataFrame:
-    """One review per line; label and polarity come from the file name, blank lines are dropped."""
-    name = F.lower(F.col("_metadata.file_name"))
+    """One review per line; label and polarity come from the name of the file (or of the folder
+    a distributed writer made for it), blank lines are dropped."""
+    name = F.lower(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1))
     lines = spark.read.text(path).select(F.trim(F.col("value")).alias("text"), name.alias("file"))
     positive = F.contains(F.col("file"), F.lit("positive"))
     return lines.where(F.length("text") > 0).select(
@@ -86,7 +89,8 @@ ENTITIES: Mapping[str, Entity] = {
 }
 
 
-def collect_entities(spark: SparkSession, folder: str, out: str, kinds=tuple(ENTITIES)) -> DataFrame:
+def collect_entities(spark: SparkSession, folder: str, out: str, kinds=tuple(ENTITIES),
+                     entities: Mapping[str, Entity] = ENTITIES) -> DataFrame:
     """Read, conform and store each kind of entity; a kind that cannot be read is reported, not fatal.
 
     Gives one report row per kind with status, rows and bad lines. Rows are counted from the stored parquet footers, so no
@@ -94,8 +98,8 @@ def collect_entities(spark: SparkSession, folder: str, out: str, kinds=tuple(ENT
     """
     report = []
     for kind in kinds:
-        entity = ENTITIES[kind]
         try:
+            entity = entities[kind]
             raw = json_lines(spark, f"{folder}/{kind}", entity.ddl, entity.pattern)
             entity.transform(good(raw)).write.mode("overwrite").option("compression", "snappy").parquet(f"{out}/{kind}")
             quarantine(raw).write.mode("overwrite").parquet(f"{out}/{kind}_bad")
