@@ -95,3 +95,19 @@ def retraining_reasons(metrics: DataFrame, drift: DataFrame, labels: DataFrame,
         F.when(F.col("new_labels") >= min_new_labels, F.lit("new_labels"))))
     return metrics.join(drift, "model", "left").join(labels, "model", "left").select(
         "model", F.explode(rules).alias("reason"))
+
+
+def collection_stats(items: DataFrame) -> DataFrame:
+    """Items by platform, by content type, by label (unlabelled items left out) and in all, from one pass."""
+    label = F.when(F.col("is_fake") == 1, "fake").when(F.col("is_fake") == 0, "authentic")
+    rows = items.select("platform", "content_type", label.alias("label"), "is_fake", "n")
+    cube = rows.groupingSets([["platform"], ["content_type"], ["label"], []], "platform", "content_type", "label").agg(
+        F.grouping_id().alias("gid"), F.count("*").alias("items"), F.count("is_fake").alias("labelled"),
+        F.avg("n").alias("mean_length"))
+    cuts = {3: ("platform", F.col("platform")), 5: ("content_type", F.col("content_type")), 6: ("label", F.col("label"))}
+    cut, value = F.lit("total"), F.lit("all")
+    for gid, (name, col) in cuts.items():
+        cut, value = F.when(F.col("gid") == gid, name).otherwise(cut), F.when(F.col("gid") == gid, col).otherwise(value)
+    return cube.select(cut.alias("cut"), value.alias("value"), "items",
+                       (F.col("labelled") * 100.0 / F.col("items")).alias("labelled_percent"), "mean_length"
+                       ).where(F.col("value").isNotNull())

@@ -117,7 +117,7 @@ def join_predictions_feedback(t):
 
 
 @query("assemble_behaviour", with_views(f"""
-SELECT v.review_id, u.n AS rating_count, {r6('u.m')} AS rating_mean, {r6('coalesce(g.a, 0)')} AS avg_time_between_reviews,
+SELECT v.review_id, u.n AS rating_count, floor(u.m * 1e4 + 0.5) / 1e4 AS rating_mean, {r6('coalesce(g.a, 0)')} AS avg_time_between_reviews,
  coalesce(g.c, 0) AS reviews_in_24_hours, d.degree AS neighbor_count
 FROM reviews_v v LEFT JOIN u USING (user_id) LEFT JOIN g USING (user_id) LEFT JOIN d USING (user_id)""", reviews=True,
                                         extra=f"""{GAPS_SQL},
@@ -126,6 +126,6 @@ g AS (SELECT user_id, avg(gap_hours) AS a, count(*) FILTER (WHERE gap_hours < 24
 d AS (SELECT user_id, count(DISTINCT product_id) AS degree FROM reviews_v GROUP BY user_id)"""))
 def assemble_behaviour(t):
     out = X.assemble_behaviour(t.reviews())
-    return out.select("review_id", "rating_count", round6("rating_mean").alias("rating_mean"),
+    return out.select("review_id", "rating_count", "rating_mean",
                       round6("avg_time_between_reviews").alias("avg_time_between_reviews"), "reviews_in_24_hours",
                       "neighbor_count")
