@@ -21,8 +21,11 @@ TERMS_SQL = f"""list_filter(regexp_extract_all(translate(lower(review_text), '{X
 
 
 def grams_sql(longest):
-    parts = ["w"] + [f"list_transform(range(1, greatest(len(w) - {n - 2}, 1)), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
-                     for n in range(2, longest + 1)]
+    def runs(n):
+        shifted = ", ".join(f"w[{i + 1}:greatest(len(w) - {n - 1 - i}, 0)]" for i in range(n))
+        return f"list_transform(list_zip({shifted}), lambda z: concat_ws(' ', {', '.join(f'z[{i + 1}]' for i in range(n))}))"
+
+    parts = ["w", *map(runs, range(2, longest + 1))]
     return f"""docs AS (SELECT review_id, {TERMS_SQL} AS w FROM reviews_v),
 grams AS (SELECT review_id, unnest(list_concat({', '.join(parts)})) AS term FROM docs)"""
 
