@@ -153,3 +153,11 @@ def last_n_feed(t):
     out = K.first_rows(t.scored().select("platform", "prediction_id", "ts"), ["platform"],
                        [C("ts").desc(), C("prediction_id").desc()], 20)
     return out.select("platform", "prediction_id", C("position").cast("bigint").alias("position"))
+
+
+@query("sort_user_date", with_views("""
+SELECT review_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY date, review_id) AS position FROM reviews_v""",
+                                    reviews=True))
+def sort_user_date(t):
+    out = O.row_numbers(narrow(t), ["user_id"], ["date", "review_id"])
+    return out.select("review_id", "user_id", C("rn").cast("bigint").alias("position"))
