@@ -87,13 +87,15 @@ def strip_phones(col: Column) -> Column:
 
 
 def normalise(col: Column, remove_numbers: bool = True, remove_punctuation: bool = True) -> Column:
-    """Lower-case, drop digits, turn punctuation into spaces, collapse white space."""
+    """Lower-case, drop digits, turn punctuation into spaces, collapse white space.
+
+    Punctuation and white space together are all that is not a word character, so one replacement covers both.
+    """
     col = F.lower(col)
     if remove_numbers:
         col = _remove(col, f"{DIGIT}+")
-    if remove_punctuation:
-        col = F.regexp_replace(col, PUNCTUATION, " ")
-    return F.trim(F.regexp_replace(col, SPACE_RUN, " "))
+    gap = rf"[^{WORD_CHARS}]+" if remove_punctuation else SPACE_RUN
+    return F.trim(F.regexp_replace(col, gap, " "))
 
 
 def words(col: Column) -> Column:
@@ -113,7 +115,8 @@ def scrub(col: Column) -> Column:
 
 def clean(col: Column, stop_words=STOP_WORDS) -> Column:
     """Full cleaning: scrub, normalise, keep meaningful tokens, join by one space; null gives ''."""
-    return F.array_join(keep_tokens(words(normalise(scrub(F.coalesce(col, F.lit(""))))), stop_words), " ")
+    spaced = normalise(scrub(F.coalesce(col, F.lit(""))))  # one space between tokens
+    return F.array_join(keep_tokens(F.split(spaced, " "), stop_words), " ")
 
 
 def text_length(col: Column) -> Column:
@@ -130,8 +133,7 @@ def sentence_count(col: Column) -> Column:
 
 def avg_word_length(col: Column) -> Column:
     col = F.coalesce(col, F.lit(""))
-    n = word_count(col)
-    return F.when(n > 0, F.length(_remove(col, SPACE_RUN)) / n).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(F.length(_remove(col, SPACE_RUN)).cast("double"), word_count(col)), F.lit(0.0))
 
 
 def share_of(col: Column, pattern: str) -> Column:
@@ -163,7 +165,7 @@ def repeated_words(col: Column) -> Column:
             (acc["hits"] + F.when(same & (acc["run"] == 1), 1).otherwise(0)).alias("hits"),
         )
 
-    return F.aggregate(F.array_sort(words(F.lower(F.coalesce(col, F.lit(""))))), start, step, lambda acc: acc["hits"])
+    return F.aggregate(F.sort_array(words(F.lower(F.coalesce(col, F.lit(""))))), start, step, lambda acc: acc["hits"])
 
 
 def upper_share(col: Column) -> Column:

@@ -46,7 +46,7 @@ def _ranked(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
 def split_stratified(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = SEED) -> DataFrame:
     """Add ``part`` ('train' or 'test') with the exact share of every class."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    ranked = _ranked(df, label, key, seed).join(F.broadcast(sizes.limit(1000)), label)
+    ranked = _ranked(df, label, key, seed).join(sizes, label)
     return ranked.withColumn("part", F.when(F.col("rn") <= F.floor(F.col("_n") * share), "train").otherwise("test")).drop("rn", "_n")
 
 
@@ -55,9 +55,8 @@ def with_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int =
 
 
 def training_rows(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """Assembled features, numeric label and balanced class weight (a weight per class, so a small table)."""
-    weights = class_weights(df, label).select(label, "weight").limit(1000)
-    rows = df.where(F.col(label).isNotNull()).join(F.broadcast(weights), label)
+    """Assembled features, numeric label and balanced class weight."""
+    rows = df.where(F.col(label).isNotNull()).join(class_weights(df, label).select(label, "weight"), label)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     return assembler.transform(rows.fillna(0, list(features))).withColumn("label", F.col(label).cast("double"))
 

@@ -180,7 +180,7 @@ FROM scored_v s LEFT JOIN documents d ON d.doc_id = s.prediction_id)"""
 
 
 def requests(t):
-    s, d = t.scored(), t.base("documents").select(C("doc_id"), C("text"))
+    s, d = t.scored(), t.texts("documents", "doc_id").select(C("doc_id"), C("text"))
     pid = C("prediction_id")
     return s.join(d, pid == C("doc_id"), "left").select(
         pid.alias("request_id"), F.coalesce("text", "class_label").alias("text"), "platform",

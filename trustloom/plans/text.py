@@ -63,7 +63,7 @@ def rows(expr: str, alias: str, source: str = "reviews_v", key: str = "review_id
 
 @query("strip_html", f"SELECT page_id, {remove_sql('html', X.HTML_TAG)} AS plain FROM pages")
 def strip_html(t):
-    return t.base("pages").select("page_id", X.strip_html(F.col("html")).alias("plain"))
+    return t.texts("pages", "page_id").select("page_id", X.strip_html(F.col("html")).alias("plain"))
 
 
 @query("strip_urls", rows(urls_sql("review_text"), "plain"))

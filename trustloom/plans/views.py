@@ -70,11 +70,18 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def texts(self, name: str, key: str) -> DataFrame:
+        """A base table with long texts. A table of few files gives few tasks, so its rows are spread over the cores; a
+        table of many files already has enough splits and is read as it is."""
+        df = self.base(name)
+        width = self.spark.sparkContext.defaultParallelism
+        return df.repartition(width, key) if len(df.inputFiles()) < width else df
+
     def events(self) -> DataFrame:
         return self.base("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
     def reviews(self) -> DataFrame:
-        d, e, lab = self.base("documents"), self.events(), self.base("labels")
+        d, e, lab = self.texts("documents", "doc_id"), self.events(), self.base("labels")
         return (
             d.join(e, e.event_id == d.doc_id)
             .join(lab.withColumnRenamed("doc_id", "label_id"), F.col("label_id") == F.col("doc_id"), "left")
