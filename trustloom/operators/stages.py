@@ -71,4 +71,4 @@ class KeyStats(Estimator, _KeyParams, DefaultParamsReadable, DefaultParamsWritab
         key_stats(df, key).write.mode("overwrite").parquet(path)
         model = KeyStatsModel()
         model._set(keyCol=key, prefix=self.getOrDefault(self.prefix), idCol=self.getOrDefault(self.idCol), table=path)
-        return model.setParent(self)
+        return model
