@@ -60,3 +60,16 @@ def test_attach_is_a_left_join_whatever_is_hot(spark, rows, hot_rows):
     got = {r["id"]: (r["n"], r["s"]) for r in O.attach(df, stats, "g", "id", "n", hot_rows).collect()}
     want = {r["id"]: (r["n"], r["s"]) for r in df.join(stats, "g", "left").collect()}
     assert got == want
+
+
+def test_the_salt_reaches_the_shuffle(spark, rows):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame(rows)
+        stats = df.groupBy("g").agg(F.count("*").alias("n"))
+        plan = O.attach(df, stats, "g", "id", "n", 50)._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+        assert joins and all(line.count("_salt") == 2 for line in joins)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

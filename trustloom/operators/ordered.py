@@ -144,7 +144,9 @@ def attach(df: DataFrame, stats: DataFrame, keys, spread: str, size: str = "n",
     keys = [keys] if isinstance(keys, str) else list(keys)
     cols = [c for c in stats.columns if c not in keys]
     hot = stats.where(F.col(size) > hot_rows).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in cols])
-    cold = stats.where(F.col(size) <= hot_rows).select(*keys, *cols, F.lit(0).cast("bigint").alias("_salt"))
+    # always 0, but not a literal: the optimizer would turn a literal into a filter and leave the salt out of the shuffle
+    unsalted = F.pmod(F.col(size).cast("bigint"), F.lit(1).cast("bigint")).alias("_salt")
+    cold = stats.where(F.col(size) <= hot_rows).select(*keys, *cols, unsalted)
     lone = F.col(f"_hot_{size}").isNotNull()
     for k in keys:
         lone = lone | F.col(k).isNull()
