@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustloom.llm import exact, simhash
+from trustloom.llm import exact, packing, pieces, simhash, tokens
 from trustloom.session import prepare
 
 
@@ -24,9 +24,35 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copy_groups(docs, carry={"text_sha256": digest}).withColumnRenamed("id", "doc_id")
 
 
+def _file(name: str) -> str:
+    """Place of a public tokenizer's file on the driver; tasks get its content, not its place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = pieces.read_vocabulary(_file("piece_bpe_32k.model"))
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), vocab).withColumnRenamed("id", "doc_id")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        cut = packing.token_pieces(_table(spark, sf_dir, "documents"), f.read())
+    return packing.pack(cut.select(F.col("id").alias("doc_id"), "piece", "start", "length",
+                                   F.crc32("ids").alias("ids_crc32")))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digest(_table(spark, sf_dir, "documents"), pieces.read_vocabulary(_file("piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_packing": op4_packing,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 SQL = {
