@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustloom.llm import exact, packing, pieces, simhash, tokens
+from trustloom.llm import exact, kneser, packing, pieces, quality, simhash, tokens
 from trustloom.session import prepare
 
 
@@ -36,23 +36,41 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), vocab).withColumnRenamed("id", "doc_id")
 
 
-def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 ids; of the ids themselves only the checksum is kept."""
     with open(_file("byte_bpe_50k.json"), encoding="utf-8") as f:
-        cut = packing.token_pieces(_table(spark, sf_dir, "documents"), f.read())
+        cut = packing.token_pieces(docs, f.read())
     return packing.pack(cut.select(F.col("id").alias("doc_id"), "piece", "start", "length",
                                    F.crc32("ids").alias("ids_crc32")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.verdicts(_table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       "base_failed", "kept", "p_good")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(_table(spark, sf_dir, "documents"), pieces.read_vocabulary(_file("piece_bpe_32k.model")))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = kneser.trusted_ids(_table(spark, sf_dir, "labels"))
+    return kneser.classify(_table(spark, sf_dir, "documents"), trusted).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op7_quality_rules": op7_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL = {
