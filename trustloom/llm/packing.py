@@ -10,6 +10,7 @@ all pieces of a length.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from trustloom.llm.common import dropped, stored
 
 SIZE, END = 1024, 2
 NODES = 2000  # fillings the search may try; the best-fit plan stands where it finds nothing better
-MEMO = 200_000
+MEMO = 500_000  # kept parts; a memo starts again when it is full
 
 
 def _units_are_apart(tokenizer: str) -> bool:
@@ -32,22 +33,55 @@ def _units_are_apart(tokenizer: str) -> bool:
             and pre.get("use_regex", True) and not any(c.isspace() for t in added for c in t))
 
 
+# Letters, then punctuation without apostrophes: the pattern cuts between them wherever they stand.
+_WORD_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+
+
 class _Ids(dict):
-    """Ids of a part (as little-endian bytes) with a space before it, computed by the tokenizer at first use."""
+    """Ids of a part (as little-endian bytes) with ``lead`` before it, computed by the tokenizer at first use. Parts are
+    put together from smaller ones where the pattern cuts anyway: around a line end between two characters, and between
+    letters and the marks after them."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, lead: str = " ", bare: _Ids | None = None):
         super().__init__()
-        self.encode = encode
+        self.encode, self.lead, self.bare = encode, lead, self if bare is None else bare
 
     def __missing__(self, part: str) -> bytes:
         if not part or part[0].isspace():  # runs of white space are not cut
             raise KeyError(part)
         if len(self) >= MEMO:
             self.clear()
-        got = self[part] = self.encode(" " + part)
+        before, line, after = part.partition("\n")
+        word = _WORD_MARKS.fullmatch(part)
+        if line and after and not (before[-1].isspace() or after[0].isspace()):
+            got = self[before] + self.bare.lines + self.bare[after]
+        elif word and word[1].isalpha():
+            got = self[word[1]] + self.bare[word[2]]
+        else:
+            got = self.encode(self.lead + part)
+        self[part] = got
         return got
 
 
+_MEMOS: dict[str, tuple[_Ids, _Ids]] = {}
+
+
+def _memos(tokenizer: str) -> tuple[_Ids, _Ids]:
+    """Ids of parts without and with a space before them; one pair per tokenizer and worker process."""
+    if tokenizer not in _MEMOS:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_str(tokenizer)
+
+        def encode(text):
+            return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        bare = _Ids(encode, "")
+        bare.lines = encode("\n")
+        _MEMOS[tokenizer] = bare, _Ids(encode, " ", bare)
+    return _MEMOS[tokenizer]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE,
                  end: int = END) -> DataFrame:
     """``id, piece, start, length, ids`` per piece: the ids of a text by the tokenizer (its JSON), then ``end``, cut into pieces.
@@ -59,14 +93,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     apart = _units_are_apart(tokenizer)
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_str(tokenizer)
-
-        def encode(text):
-            return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        memo, last = _Ids(encode), np.array([end], "<u4").tobytes()
+        bare, spaced = _memos(tokenizer)
+        last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows = []
             for k, text in enumerate(batch.column(1)):
@@ -75,9 +103,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     if not apart:
                         raise KeyError
                     first, *rest = text.split(" ")
-                    ids = b"".join([encode(first) if first else b"", *map(memo.__getitem__, rest), last])
+                    ids = b"".join([bare[first] if first else b"", *map(spaced.__getitem__, rest), last])
                 except KeyError:
-                    ids = encode(text) + last
+                    ids = bare.encode(text) + last
                 n = len(ids) // 4
                 head = n % size or size
                 cuts = [0, *range(head, n + 1, size)]
