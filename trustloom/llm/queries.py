@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustloom.llm import exact, kneser, packing, pieces, pitman_yor, quality, simhash, tokens
+from trustloom.llm import chat, exact, kneser, packing, pieces, pitman_yor, quality, simhash, tokens
 from trustloom.session import prepare
 
 
@@ -58,6 +58,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept", "p_good")
 
 
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    rows = chat.preferences(turns, chat.neighbour_pairs(turns))
+    return rows.withColumns({"chosen_mask": chat.mask_text("chosen_mask"), "rejected_mask": chat.mask_text("rejected_mask")})
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(_table(spark, sf_dir, "documents"), pieces.read_vocabulary(_file("piece_bpe_32k.model")))
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_pitman_yor": op5_pitman_yor,
     "op7_quality_rules": op7_quality_rules,
+    "op8_preferences": op8_preferences,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_classifier": op10_quality_classifier,
 }
@@ -84,4 +91,30 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """,
+    "op8_preferences": """
+WITH convs AS (
+  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), pairs AS (
+  SELECT max(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, max(conv_id) FILTER (conv_id % 2 = 1) AS rejected_id
+  FROM convs GROUP BY conv_id // 2
+), joined AS (
+  SELECT chosen_id, rejected_id, a.turns AS a, b.turns AS b,
+         CASE WHEN a.turns IS NULL OR b.turns IS NULL THEN 0 ELSE len(list_filter(range(1, least(len(a.turns), len(b.turns)) + 1),
+           lambda i: list_bool_and([a.turns[j].role IS NOT DISTINCT FROM b.turns[j].role
+             AND a.turns[j].text IS NOT DISTINCT FROM b.turns[j].text FOR j IN range(1, i + 1)]))) END AS n
+  FROM pairs LEFT JOIN convs a ON a.conv_id = chosen_id LEFT JOIN convs b ON b.conv_id = rejected_id
+), parts AS (
+  SELECT chosen_id, rejected_id, n, a[1:n] AS p, a[n + 1:] AS a, b[n + 1:] AS b FROM joined
+)
+SELECT chosen_id, rejected_id, n AS n_prompt_turns,
+       coalesce(array_to_string([SHOW FOR t IN p], ''), '') AS prompt,
+       CASE WHEN a IS NOT NULL THEN coalesce(array_to_string([SHOW FOR t IN a], ''), '') END AS chosen,
+       CASE WHEN b IS NOT NULL THEN coalesce(array_to_string([SHOW FOR t IN b], ''), '') END AS rejected,
+       CASE WHEN a IS NOT NULL THEN coalesce(array_to_string([MASK FOR t IN a], ','), '') END AS chosen_mask,
+       CASE WHEN b IS NOT NULL THEN coalesce(array_to_string([MASK FOR t IN b], ','), '') END AS rejected_mask
+FROM parts
+""".replace("SHOW", "'<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)").replace(
+        "MASK", "CASE WHEN t.role = 'assistant' THEN (13 + length(t.role)) || '+' || (11 + length(coalesce(t.text, ''))) "
+        "ELSE (24 + length(coalesce(t.role, '')) + length(coalesce(t.text, ''))) || '+0' END"),
 }
