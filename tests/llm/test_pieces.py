@@ -42,7 +42,11 @@ def test_counts_and_ids_as_library(library, vocab):
     def ids(u):
         return auto.encode(u)
 
-    bare, spaced, nl = pieces.Units(ids, ""), pieces.Units(ids, pieces.MARK), [vocab.bytes_at[10]]
+    def join(parts):
+        return [i for p in parts for i in p]
+
+    bare = pieces.Units(auto, ids, join, "")
+    spaced, nl = pieces.Units(auto, ids, join, pieces.MARK, bare.parts), [vocab.bytes_at[10]]
     for t in texts:
         want = library.encode(t or "")
         got = [i for u in pieces.unit_results(pieces.spaced_text(t), bare, spaced, nl) for i in u]
@@ -58,6 +62,17 @@ def test_chunk_maps_compose(library, vocab, chunk):
         assert machine.count(t, chunk) == len(library.encode(t)), repr(t)
 
 
+def test_fit_as_merges(vocab):
+    auto, rng = pieces.automaton(vocab), random.Random(8)
+    often = [i for i in vocab.plain if i < 2500]
+    marks = [i for i in vocab.plain if not vocab.pieces[i].strip("▁")]
+    for k in range(6000):
+        pool = (often, vocab.plain, [*marks, *often[:40]])[k % 3]
+        i, j = rng.choice(pool), rng.choice(pool)
+        a, b = vocab.pieces[i], vocab.pieces[j]
+        assert auto.fit(i, j) == (auto.merged(a + b) == [a, b]), (a, b)
+
+
 def test_viterbi_unigram_brute():
     words = ["a", "b", "c", "▁", "ab", "bc", "abc", "▁a", "▁ab", "ca", "cab", "bca"]
     rng = random.Random(1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,6 +61,9 @@ class Automaton:
         self.v, self.next, self.piece, self.depth = v, [{}], [-1], [0]
         self.rank = {v.pieces[i]: (v.scores[i], i) for i in v.plain}
         self.chars = {p for p in self.rank if len(p) == 1}
+        often = Counter(x for x, _ in self.rank.values())
+        own = sorted((p for p, (x, _) in self.rank.items() if len(p) > 1 and often[x] == 1), key=lambda p: -self.rank[p][0])
+        self.order, self.split = {p: i for i, p in enumerate(own)}, {}
         self.fits: dict[int, bool] = {}
         for p, (_, i) in self.rank.items():
             at = 0
@@ -81,13 +85,32 @@ class Automaton:
                 self.fail[to] = self.next[f].get(c, 0)
                 queue.append(to)
             self.link[at] = self.fail[at] if self.piece[self.fail[at]] >= 0 else self.link[self.fail[at]]
+        self.ends = []  # per node, the pieces that end there with their lengths, longest first: the output links followed
+        for at in range(len(self.next)):
+            node, out = at if self.piece[at] >= 0 else self.link[at], []
+            while node:
+                out.append((self.piece[node], self.depth[node]))
+                node = self.link[node]
+            self.ends.append(tuple(out))
+        self.hops: list[dict[str, int]] = [{} for _ in self.next]  # steps taken so far, failures included
+        self.inside = {p[i:i + 2] for p in self.rank for i in range(len(p) - 1)}  # neighbours that some piece holds
 
     def step(self, at: int, c: str) -> int:
-        while at and c not in self.next[at]:
-            at = self.fail[at]
-        return self.next[at].get(c, 0)
-
-    def merged(self, text: str) -> list[str]:
+        """Next node: the longest piece beginning that ends with this character."""
+        to = self.hops[at].get(c)
+        if to is None:
+            node = at
+            while node and c not in self.next[node]:
+                node = self.fail[node]
+            to = self.hops[at][c] = self.next[node].get(c, 0) if c in self.chars else 0
+        return to
+
+    def cut(self, text: str) -> list[str]:
+        """Parts of a text that can be encoded apart, since no piece holds the two characters where they meet."""
+        at = [0, *[i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.inside], len(text)]
+        return [text[i:j] for i, j in zip(at, at[1:])]
+
+    def merged(self, text: str, trace: list | None = None) -> list[str]:
         """What the merges make of a short text: best score first, the leftmost of equal ones."""
         s = list(text)
         while True:
@@ -95,46 +118,90 @@ class Automaton:
             if not found:
                 return s
             i = min(found)[1]
+            if trace is not None:
+                trace.append((s[i], s[i + 1]))
             s[i:i + 2] = [s[i] + s[i + 1]]
 
+    def halves(self, piece: str):
+        """The two parts of a piece's last merge, if it and its parts come about in the order of their scores; else None."""
+        if piece not in self.split:
+            trace: list[tuple[str, str]] = []
+            whole = self.merged(piece, trace) == [piece]
+            parts = trace[-1] if whole and trace else ("", "")
+            ok = whole and self.merge_order(piece) >= 0 and all(
+                len(x) == 1 or self.halves(x) and self.merge_order(x) < self.merge_order(piece) for x in parts)
+            self.split[piece] = parts if ok else None
+        return self.split[piece]
+
+    def merge_order(self, piece: str) -> int:
+        """Place of a piece among the merges; -1 for characters and for pieces whose score is not their own."""
+        return self.order.get(piece, -1)
+
     def fit(self, left: int, right: int) -> bool:
         """Whether the merges leave piece ``right`` as it is after piece ``left`` (-1: nothing that it could merge with)."""
         key = left * len(self.v.pieces) + right
         if (got := self.fits.get(key)) is None:
-            a, b = [self.v.pieces[left]] if left >= 0 else [], self.v.pieces[right]
+            a, b = self.v.pieces[left] if left >= 0 else "", self.v.pieces[right]
             if len(self.fits) >= 4 * MEMO:
                 self.fits.clear()
-            got = self.fits[key] = self.merged("".join(a) + b) == [*a, b]
+            if a and all(len(x) == 1 or self.halves(x) for x in (a, b)):
+                got = self._apart(a, b)
+            else:
+                got = self.merged(a + b) == ([a, b] if a else [b])
+            self.fits[key] = got
         return got
 
+    def _apart(self, a: str, b: str) -> bool:
+        """Whether no merge joins the end of ``a`` with the beginning of ``b``: their merges are undone, last first, and
+        at each point a merge across the border must come later than the one undone, or not exist."""
+        limit, x, y, whole = len(self.order), self.merge_order(a), self.merge_order(b), (a, b)
+        while True:
+            met = a + b
+            if met in self.rank:
+                place = self.merge_order(met)
+                if place < 0:  # pieces of equal scores: only the merges themselves tell
+                    return self.merged("".join(whole)) == list(whole)
+                if place < limit:
+                    return False
+            if x > y:
+                limit, a = x, self.halves(a)[1]
+                x = self.merge_order(a)
+            elif y >= 0:
+                limit, b = y + 1, self.halves(b)[0]
+                y = self.merge_order(b)
+            else:
+                return True
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text whose spaces are written as marks, in one pass."""
-        v, bpe = self.v, self.v.kind == "bpe"
-        unknown = min((v.scores[i] for i in v.plain), default=0.0) - 10
-        best, back, last = [0.0], [0], [-1]
-        at = 0
-        for i, c in enumerate(text, 1):
-            at = self.step(at, c)
-            score, start, piece = float("-inf"), i - 1, -1
-            node = at if self.piece[at] >= 0 else self.link[at]
-            while node:
-                p, j = self.piece[node], i - self.depth[node]
-                if bpe:
-                    if self.fit(last[j], p):
-                        score, start, piece = 0.0, j, p
+        v = self.v
+        last, size = [-1], [0]  # the best last piece up to each position, and its length
+        step, ends, at = self.step, self.ends, 0
+        if v.kind == "bpe":
+            known, n = self.fits.get, len(v.pieces)
+            for i, c in enumerate(text, 1):
+                at = step(at, c)
+                for p, m in ends[at]:
+                    left = last[i - m]
+                    ok = known(left * n + p)
+                    if self.fit(left, p) if ok is None else ok:
+                        last.append(p)
+                        size.append(m)
                         break
-                elif best[j] + v.scores[p] > score:
-                    score, start, piece = best[j] + v.scores[p], j, p
-                node = self.link[node]
-            if piece < 0:
-                score = best[i - 1] + unknown
-            best.append(score)
-            back.append(start)
-            last.append(piece)
+                else:
+                    last.append(-1)
+                    size.append(1)
+        else:
+            unknown, best = min((v.scores[i] for i in v.plain), default=0.0) - 10, [0.0]
+            for i, c in enumerate(text, 1):
+                at = step(at, c)
+                found = max(((best[i - m] + v.scores[p], m, p) for p, m in ends[at]), default=(best[-1] + unknown, 1, -1))
+                for x, to in zip(found, (best, size, last)):
+                    to.append(x)
         ids, i = [], len(text)
         while i:
             ids += [last[i]] if last[i] >= 0 else [v.bytes_at[b] for b in reversed(text[i - 1].encode())]
-            i = back[i]
+            i -= size[i]
         return ids[::-1]
 
 
@@ -149,18 +216,27 @@ def automaton(v: Vocabulary) -> Automaton:
 
 
 class Units(dict):
-    """Result of ``fn`` per unit, computed at first use. A unit is a run of spaces and what follows up to the next space
-    or line end: no piece crosses its borders, so units are encoded apart. ``lead`` stands before every key."""
+    """Result per unit, computed at first use: that of its parts (see :meth:`Automaton.cut`) by ``fn``, put together by
+    ``join``. A unit is a run of spaces and what follows up to the next space or line end: no piece crosses its borders, so
+    units are encoded apart. ``lead`` stands before every key."""
 
-    def __init__(self, fn, lead: str):
+    def __init__(self, auto: Automaton, fn, join, lead: str, parts: dict | None = None):
         super().__init__()
-        self.fn, self.lead = fn, lead
+        self.auto, self.fn, self.join, self.lead, self.parts = auto, fn, join, lead, {} if parts is None else parts
 
     def __missing__(self, unit: str):
+        found = []
+        for part in self.auto.cut(self.lead + unit.replace(" ", MARK)):
+            got = self.parts.get(part)
+            if got is None:
+                if len(self.parts) >= MEMO:
+                    self.parts.clear()
+                got = self.parts[part] = self.fn(part)
+            found.append(got)
         if len(self) >= MEMO:
             self.clear()
-        got = self[unit] = self.fn(self.lead + unit.replace(" ", MARK))
-        return got
+        out = self[unit] = self.join(found) if len(found) != 1 else found[0]
+        return out
 
 
 def unit_results(text: str, bare: Units, spaced: Units, newline) -> list:
@@ -224,7 +300,8 @@ def encode_table(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_co
         def ids(unit):
             return np.array(a.encode(unit), "<u4").tobytes()
 
-        bare, spaced, newline = Units(ids, ""), Units(ids, MARK), np.array([v.bytes_at[10]], "<u4").tobytes()
+        bare = Units(a, ids, b"".join, "")
+        spaced, newline = Units(a, ids, b"".join, MARK, bare.parts), np.array([v.bytes_at[10]], "<u4").tobytes()
         for batch in batches:
             got = [b"".join(unit_results(spaced_text(t.as_py()), bare, spaced, newline)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["id", "ids"])
@@ -271,7 +348,12 @@ def encode_digest(docs: DataFrame, v: Vocabulary) -> DataFrame:
             ids = a.encode(marked)
             return np.array(ids, "<u4").tobytes(), sum(i in byte for i in ids), b"".join([text.get(i, b"") for i in ids])
 
-        bare, spaced = Units(unit, ""), Units(unit, MARK)
+        def join(parts):
+            ids, byts, texts = zip(*parts) if parts else ((),) * 3
+            return b"".join(ids), sum(byts), b"".join(texts)
+
+        bare = Units(a, unit, join, "")
+        spaced = Units(a, unit, join, MARK, bare.parts)
         newline = (np.array([v.bytes_at[10]], "<u4").tobytes(), 1, b"\n")
         for batch in batches:
             rows = []

@@ -52,11 +52,9 @@ class Transducer:
         else:
             open_at = {k: (last, n) for k, last, n in live}
             to = a.step(node, c)
-            end = to if a.piece[to] >= 0 else a.link[to]
-            while not a.fit(open_at[a.depth[end] - 1][0], a.piece[end]):
-                end = a.link[end]
-            added = open_at[a.depth[end] - 1][1] + 1
-            live, at = [(0, a.piece[end], 0)], to
+            piece, size = next((p, m) for p, m in a.ends[to] if a.fit(open_at[m - 1][0], p))
+            added = open_at[size - 1][1] + 1
+            live, at = [(0, piece, 0)], to
             while at:
                 if a.next[at]:
                     last, n = open_at[a.depth[at] - 1]
@@ -82,7 +80,8 @@ class Counter:
 
     def __init__(self, v: Vocabulary):
         machine = Transducer(v)
-        self.bare, self.spaced = Units(machine.count, ""), Units(machine.count, MARK)
+        self.bare = Units(machine.auto, machine.count, sum, "")
+        self.spaced = Units(machine.auto, machine.count, sum, MARK, self.bare.parts)
 
     def tokens(self, text: str) -> int:
         """Tokens of a stretch between borders."""
