@@ -16,6 +16,7 @@ import html as entities
 import pickle
 import re
 import zlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -47,7 +48,9 @@ LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|/[^a-zA-Z>][^>]*+(?:>|\Z)|/>|(/?)([a-zA-Z][^\s/>]*+)"""
                   r"""((?:[^>"']++|(?<==)"[^"]*+"|(?<==)'[^']*+'|["'])*+)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_NAME = re.compile(r"(?=(?<![A-Za-z])([A-Za-z]+))?([A-Z]?[a-z]+|[A-Z]+(?![a-z]))")  # whole runs of letters, and their humps
+_TELLING = re.compile(r"(?i)\b(?:class|id|role|hidden|style)\b")
+_RAW_END = {name: re.compile(rf"(?i)</{name}(?=[\s/>])[^>]*>?") for name in RAW}
 MIN_PAGES, SHARE = 4, 0.8  # outside an article element; inside one a template needs more evidence
 ARTICLE_PAGES, ARTICLE_SHARE = 20, 0.95
 MENU_LINKS, MENU_SHARE = 3, 0.8
@@ -72,11 +75,14 @@ class Leaf:
 
 
 def _attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(source)} if source.strip(" /") else {}
+    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(source)}
 
 
-def _node(tag: str, attributes: dict[str, str], in_article: bool) -> Node:
-    words = {w.lower() for key in ("class", "id") for w in _NAME.findall(attributes.get(key, ""))}
+@lru_cache(50_000)
+def _kind(tag: str, source: str, in_article: bool) -> tuple[str, bool, bool]:
+    """Label of an element, whether it is declared not to be article, and whether it is one."""
+    attributes = _attributes(source)
+    words = {w.lower() for key in ("class", "id") for m in _NAME.findall(attributes.get(key, "")) for w in m}
     role = attributes.get("role", "").lower()
     style = attributes.get("style", "").replace(" ", "").lower()
     off = (tag in DROPPED or role in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
@@ -87,7 +93,7 @@ def _node(tag: str, attributes: dict[str, str], in_article: bool) -> Node:
         titled = "header" in words and bool(words & ARTICLE_WORDS)
         off = off or bool((words - {"header"} if titled or tag == "header" else words) & NAMES) or (tag == "header" and not in_article)
     label = tag + "".join(sorted("." + w for w in attributes.get("class", "").lower().split()))
-    return Node(tag, label, off, tag in ("article", "main") or role in ("article", "main"))
+    return label, off, tag in ("article", "main") or role in ("article", "main")
 
 
 def parse(source: str | None) -> Node:
@@ -144,12 +150,12 @@ def parse(source: str | None) -> Node:
             text.append(" ")
             continue
         if name in RAW:
-            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            stop = _RAW_END[name].search(source, at)
             at = stop.end() if stop else end
             if name in ("textarea", "title"):
                 text.append(" ")
             continue
-        block, attributes = name in BLOCKS, None
+        block = name in BLOCKS
         if block:
             flush()
             for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
@@ -168,19 +174,16 @@ def parse(source: str | None) -> Node:
                     break
         if name in VOID:
             continue
-        attributes = _attributes(tag[3])
-        node = _node(name, attributes, articles > 0)
-        if block or node.off or node.article:
+        label, off, article = _kind(name, tag[3] if _TELLING.search(tag[3]) else "", articles > 0)
+        if block or off or article:
             flush()
+            node = Node(name, label, off, article)
             stack[-1][1].kids.append(node)
-            articles += node.article
-            if not tag[3].endswith("/") or block:
-                stack.append((name, node))
-            else:
-                articles -= node.article
+            articles += article
+            stack.append((name, node))
         else:
             stack.append((name, stack[-1][1]))
-        depth_a += name == "a" and stack[-1][0] == "a"
+        depth_a += name == "a"
     flush()
     _measure(root)
     return root

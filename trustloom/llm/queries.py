@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustloom.llm import chat, exact, kneser, packing, pieces, pitman_yor, quality, simhash, tokens
+from trustloom.llm import chat, exact, html, kneser, packing, pieces, pitman_yor, quality, simhash, tokens
 from trustloom.session import prepare
 
 
@@ -52,6 +52,10 @@ def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.verdicts(_table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -79,6 +83,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
     "op5_pitman_yor": op5_pitman_yor,
+    "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
     "op8_preferences": op8_preferences,
     "op9_sentencepiece": op9_sentencepiece,
