@@ -58,3 +58,39 @@ def test_planted_drift_is_found(spark):
     assert got == {"same": False, "moved": True}
     for name, want in (("same", False), ("moved", True)):
         assert mmd.mmd_drift(df.withColumn("v", F.array(name)), "id", "v", F.col("cur")).first()["drift"] == want
+
+
+def test_drift_probability_with_unequal_sides(spark):
+    false_alarms = 0
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        vals = [(i, i >= 2000, float(v)) for i, v in enumerate(rng.normal(size=2040))]
+        df = spark.createDataFrame(vals, "id BIGINT, cur BOOLEAN, x DOUBLE").coalesce(1)
+        false_alarms += mmd.mmd_drift(df.withColumn("v", F.array("x")), "id", "v", F.col("cur"), seed=seed).first()["drift"]
+        if seed < 2:
+            moved = df.withColumn("v", F.array(F.col("x") + F.when(F.col("cur"), 1.0).otherwise(0.0)))
+            assert mmd.mmd_drift(moved, "id", "v", F.col("cur"), seed=seed).first()["drift"]
+    assert false_alarms <= 2
+    one = mmd.mmd_drift(df.where("id < 2001").withColumn("v", F.array("x")), "id", "v", F.col("cur")).first()
+    assert 0 < one["p_value"] <= 1
+
+
+def test_smote_needs_two_rows(rows):
+    df = rows.select("id", "y", F.array("a", "b").alias("v"))
+    for few in (df.where("y = 0"), df.where("y = 0 OR id = 3")):
+        with pytest.raises(ValueError):
+            L.smote(few, "id", "y", "v", 1)
+
+
+def test_counts_beyond_32_bits_per_class(spark):
+    df = spark.createDataFrame([(1, 1, 4_000_000_000), (0, 1, 4_000_000_000), (0, 0, 4_000_000_000)], "y INT, p INT, n BIGINT")
+    counted = df.select(F.lit("m").alias("g"), "y", "p", "n")
+    per_class = lambda d, g, y, p: d.select(*g, F.explode(F.array(
+        F.struct(F.col("y").alias("label"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("support"), F.lit(0).alias("predicted")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted")))).alias("s")).groupBy(
+        *g, F.col("s.label").alias("label")).agg(F.sum("s.tp").alias("tp"), F.sum("s.support").alias("support"), F.sum("s.predicted").alias("predicted"))
+    before, E._per_class = E._per_class, per_class
+    try:
+        assert E.classification_metrics(counted, ["g"], "y", "p").first()["mcc"] == pytest.approx(0.5)
+    finally:
+        E._per_class = before

@@ -73,3 +73,13 @@ def test_the_salt_reaches_the_shuffle(spark, rows):
         assert joins and all(line.count("_salt") == 2 for line in joins)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_null_groups_stay(spark):
+    df = spark.createDataFrame([("a", 1, 10), (None, 1, 11), (None, 2, 12), ("a", 2, 13), (None, 2, 14)], "g STRING, t INT, id INT")
+    got = {r["id"]: r["rn"] for r in O.row_numbers(df, ["g"], ["t", "id"], n=3).collect()}
+    assert got == {10: 1, 13: 2, 11: 1, 12: 2, 14: 3}
+    sums = {(r["g"], r["t"]): r["run_id"] for r in O.running_sums(df, ["g"], "t", ["id"], n=3).collect()}
+    assert sums == {("a", 1): 10, ("a", 2): 23, (None, 1): 11, (None, 2): 37}
+    mid = {r["g"]: r["q0"] for r in O.quantiles(df, ["g"], "t", [0.5], n=3).collect()}
+    assert mid == {"a": 1.5, None: 2.0}

@@ -52,3 +52,11 @@ def test_latest_state(spark):
     for v, day in ((1, "2024-01-02"), (2, "2024-01-01")):
         M.append_state(spark.createDataFrame([("m", v)], "name STRING, v INT").withColumn("ts", F.lit(day).cast("timestamp")), path)
     assert M.latest_state(spark, path, ["name"], "ts").first()["v"] == 1
+
+
+def test_content_items_overwrite_and_fill_metadata(spark):
+    from trustloom.sources import conform
+
+    df = spark.createDataFrame([("a", {"content_id": "old", "k": "v"}), ("b", None)], "text STRING, metadata MAP<STRING, STRING>")
+    got = {r["text"]: r["metadata"] for r in conform.content_items(df).collect()}
+    assert got["a"]["content_id"] != "old" and got["a"]["k"] == "v" and set(got["b"]) == {"content_id", "collected_at"}

@@ -47,3 +47,16 @@ def test_retrain_callback_runs_per_event(spark):
     stream = J.source(spark, path, "start STRING, reason STRING, details STRING", "parquet")
     J.on_retrain(stream, scratch_path(spark, "t"), scratch_path(spark, "c"), lambda reason, details: seen.append(reason))
     assert seen == ["performance_degradation"]
+
+
+def test_late_row_joins_the_newest_window(spark):
+    """Windows hold the last arrivals, so a row that is late by its time still sees the rows that came before it."""
+    ddl = "prediction_id BIGINT, platform STRING, ts TIMESTAMP, y_true INT, y_pred INT"
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    path = scratch_path(spark, "in")
+    results, tail, check = (scratch_path(spark, n) for n in ("results", "tail", "check"))
+    for rows in ([(i, "web", at(100 + i), 1, 1) for i in range(200)], [(500, "web", at(0), 1, 0)], [(501, None, at(5), 1, 1)]):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(path)
+        J.rolling_performance(J.source(spark, path, ddl, "parquet"), "platform", "ts", "prediction_id", results, tail, check, 100)
+    got = {r["prediction_id"]: (r["window_count"], r["accuracy"]) for r in spark.read.parquet(results).collect()}
+    assert len(got) == 202 and got[500] == (100, 0.99) and got[501][0] == 1

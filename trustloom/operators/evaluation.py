@@ -8,19 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from trustloom.operators.ordered import running_sums
-
-MAX_CLASSES = 1000
-
-
-def class_values(df: DataFrame, *columns: str) -> list:
-    """The distinct classes of a few label columns; a label with very many values is not a class."""
-    found = df.select(F.explode(F.array(*columns)).alias("c")).where("c IS NOT NULL").distinct().limit(MAX_CLASSES + 1)
-    values = sorted(r["c"] for r in found.collect())
-    if len(values) > MAX_CLASSES:
-        raise ValueError("too many distinct labels for classes")
-    return values
-
+from trustloom.operators.ordered import group_key, running_sums
 
 def class_distribution(df: DataFrame, label: str, group: list[str]) -> DataFrame:
     """Rows and share per label within each group."""
@@ -31,13 +19,16 @@ def class_distribution(df: DataFrame, label: str, group: list[str]) -> DataFrame
 
 def confusion_matrix(df: DataFrame, group: list[str], y: str, p: str) -> DataFrame:
     """Counts for every pair of classes, zeros included, with shares by true class, by predicted class and of all."""
-    classes = class_values(df, y, p)
     counts = df.groupBy(*group, F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count("*").alias("rows"))
-    labels = F.array(*[F.lit(c) for c in classes])
-    groups = counts.select(*group).distinct() if group else df.sparkSession.range(1)
-    grid = groups.select(*group, F.explode(labels).alias("actual")).select(
-        *group, "actual", F.explode(labels).alias("predicted"))
-    full = grid.join(counts, [*group, "actual", "predicted"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    # the result holds every pair of classes of every group, so one row with the classes is never the largest thing here
+    classes = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).groupBy(F.lit(0).alias("_k")).agg(
+        F.array_sort(F.collect_set("c")).alias("labels"))
+    groups = (counts.select(*group).distinct() if group else df.sparkSession.range(1)).withColumn("_k", F.lit(0))
+    grid = groups.join(F.broadcast(classes), "_k").select(*group, "labels", F.explode("labels").alias("actual")).select(
+        *group, "actual", F.explode("labels").alias("predicted"))
+    seen = counts.select(group_key(group).alias("_g"), "actual", "predicted", "rows")
+    full = grid.withColumn("_g", group_key(group)).join(seen, ["_g", "actual", "predicted"], "left").select(
+        *group, "actual", "predicted", F.coalesce("rows", F.lit(0)).alias("rows"))
     whole = [F.lit(0)] if not group else group
 
     def share(*keys):
@@ -74,7 +65,7 @@ def classification_metrics(df: DataFrame, group: list[str], y: str, p: str, posi
     n = F.sum("support")
     weighted = lambda c: _zero_ratio(F.sum(F.col(c) * F.col("support")), n)
     pick = lambda c, is_pos: F.sum(F.when((F.col("label") == F.lit(positive)) == F.lit(is_pos), F.col(c)).otherwise(0))
-    num = F.sum("tp") * n - F.sum(F.col("support") * F.col("predicted"))
+    num = F.sum("tp").cast("double") * n - F.sum(F.col("support").cast("double") * F.col("predicted"))
     var_p = n.cast("double") * n - F.sum(F.col("predicted").cast("double") * F.col("predicted"))
     var_t = n.cast("double") * n - F.sum(F.col("support").cast("double") * F.col("support"))
     return rates.groupBy(*group).agg(
@@ -120,7 +111,8 @@ def _totals(points: DataFrame, group: list[str]) -> DataFrame:
     if not group:
         sums = points.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")).first()
         return points.withColumns({c: F.lit(sums[c]) for c in ("all_pos", "all_neg")})
-    return points.join(points.groupBy(*group).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")), group)
+    keyed = points.withColumn("_g", group_key(group))
+    return keyed.join(keyed.groupBy("_g").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg")), "_g").drop("_g")
 
 
 def roc_curve(df: DataFrame, group: list[str], y: Column, score: str) -> DataFrame:

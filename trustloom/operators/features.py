@@ -28,8 +28,8 @@ def preprocess(df: DataFrame, now: Column, missing: str = "fill", cols: ColumnSp
                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Cleaned text plus text, rating, time, user and product features per review.
 
-    All text work happens in the first projection; the statistics and windows that follow shuffle only narrow columns, and
-    their results come back to the review by its id.
+    All text work happens in the first projection. The statistics and windows run over ids, date, rating and length alone;
+    what they add meets the texts once, by review id, which must be a review's own.
     """
     if missing == "drop":
         df = df.dropna(subset=[cols.text])
@@ -40,16 +40,19 @@ def preprocess(df: DataFrame, now: Column, missing: str = "fill", cols: ColumnSp
     measured = measured.withColumns(text_measures(cols.text, f"{cols.text}_cleaned") | {
         "rating_is_extreme": N.is_extreme(raw), "rating_numerical": N.rating_value(raw),
     } | D.calendar_parts(F.col(cols.date)))
-    out = B.with_temporal_anomaly(measured, now, cols=cols)
+    needed = [cols.review_id, cols.user_id, cols.product_id, cols.date, "rating_numerical", "text_length"]
+    narrow = measured.select(*needed)
+    out = B.with_temporal_anomaly(narrow, now, cols=cols)
     for key, prefix in ((cols.user_id, "user"), (cols.product_id, "product")):
-        stats = measured.where(F.col(key).isNotNull()).groupBy(key).agg(
+        stats = narrow.where(F.col(key).isNotNull()).groupBy(key).agg(
             F.count("*").alias(f"{prefix}_rating_count"), F.avg("rating_numerical").alias(f"{prefix}_rating_mean"),
             F.coalesce(F.stddev_samp("rating_numerical"), F.lit(0.0)).alias(f"{prefix}_rating_std"),
             F.avg("text_length").alias(f"{prefix}_length_mean"),
             F.coalesce(F.stddev_samp("text_length"), F.lit(0.0)).alias(f"{prefix}_length_std"))
         out = attach(out, stats, key, cols.review_id, f"{prefix}_rating_count", hot_rows)
         out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in stats.columns if c != key})
-    return out
+    added = [c for c in out.columns if c not in needed]
+    return measured.join(out.select(cols.review_id, *added), cols.review_id, "left")
 
 
 def review_behaviour(df: DataFrame, cols: ColumnSpec = DEFAULT_COLUMNS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -69,11 +72,11 @@ def review_behaviour(df: DataFrame, cols: ColumnSpec = DEFAULT_COLUMNS, hot_rows
     }).drop(cols.text)
     for key, other, prefix in ((cols.user_id, cols.date, "user"), (cols.product_id, cols.user_id, "product")):
         stats = base.where(F.col(key).isNotNull()).groupBy(key).agg(
-            F.count("_has_text").alias(f"{prefix}_text_count"), F.avg(cols.rating).alias(f"{prefix}_rating_mean"),
+            F.count("_has_text").alias(f"{prefix}_text_count"), F.count("*").alias("_rows"), F.avg(cols.rating).alias(f"{prefix}_rating_mean"),
             F.stddev_samp(cols.rating).alias(f"{prefix}_rating_std"),
             F.count_distinct(other).alias(f"{prefix}_{'dates' if prefix == 'user' else 'reviewers'}"))
-        base = attach(base, stats, key, cols.review_id, f"{prefix}_text_count", hot_rows)
-        base = base.withColumns({c: F.coalesce(c, F.lit(0)) for c in stats.columns if c != key})
+        base = attach(base, stats, key, cols.review_id, "_rows", hot_rows).drop("_rows")
+        base = base.withColumns({c: F.coalesce(c, F.lit(0)) for c in stats.columns if c not in (key, "_rows")})
     return base.drop("_has_text")
 
 
@@ -85,10 +88,10 @@ def assemble_behaviour(df: DataFrame, cols: ColumnSpec = DEFAULT_COLUMNS, hot_ro
     user = cols.user_id
     profile = B.user_profile(df, cols).drop("first_review", "last_review")
     timing = B.user_temporal(df, cols)
-    degree = df.groupBy(user).agg(F.count_distinct(cols.product_id).alias("neighbor_count"))
+    degree = df.groupBy(user).agg(F.count_distinct(cols.product_id).alias("neighbor_count"), F.count("*").alias("_rows"))
     table = profile.join(timing, user, "left").join(degree, user, "left").where(F.col(user).isNotNull())
-    out = attach(df, table, user, cols.review_id, "rating_count", hot_rows)
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in table.columns if c != user})
+    out = attach(df, table, user, cols.review_id, "_rows", hot_rows).drop("_rows")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in table.columns if c not in (user, "_rows")})
 
 
 def impute(df: DataFrame, columns: list[str], strategy: str) -> DataFrame:

@@ -226,7 +226,10 @@ def smote(df: DataFrame, key: str, label: str, vector: str, minority, k: int = 5
     A synthetic row lies between a minority row and one of its ``k`` nearest minority rows; other columns come from the base row.
     """
     sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    have, need = sizes[minority], max(sizes.values()) - sizes[minority]
+    have = sizes.get(minority, 0)
+    if have < 2:
+        raise ValueError(f"{have} rows of the minority class {minority!r}: synthetic rows need two to lie between")
+    need = max(sizes.values()) - have
     small = written(df.where(F.col(label) == F.lit(minority)), "minority")
     near = nearest(small, key, vector, k).select(key, "neighbor", "position")
     numbered = row_numbers(small, [], [key])

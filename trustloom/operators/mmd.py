@@ -16,12 +16,17 @@ PERMUTATIONS = 99
 
 def mmd_drift(df: DataFrame, key: str, vector: str, is_current: Column, p_value: float = 0.05, preprocess=None,
               seed: int = 42) -> DataFrame:
-    """Squared distance between reference and current rows, its permutation probability and the verdict (one row)."""
+    """Squared distance between reference and current rows, its permutation probability and the verdict (one row).
+
+    A permutation gives every row to the current side with the share of the current rows, so its sides are about as large as
+    the real ones; distances are compared times n0 * n1 / (n0 + n1), which takes out what is left of the difference in size.
+    """
     rows = (preprocess(df) if preprocess else df).select(
         F.xxhash64(key).alias("h"), F.col(vector).cast("array<double>").alias("v"), is_current.cast("int").alias("cur"))
     shape = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("s")).collect()
     width = len(shape)
     bandwidth = float(np.sqrt(sum(r["s"] for r in shape))) or 1.0
+    share = float(rows.agg(F.avg("cur")).first()[0] or 0.0)
     rng = np.random.default_rng(seed)
     freq = rng.normal(size=(width, FREQUENCIES)) / bandwidth
     phase = rng.uniform(0, 2 * np.pi, FREQUENCIES)
@@ -34,8 +39,11 @@ def mmd_drift(df: DataFrame, key: str, vector: str, is_current: Column, p_value:
             z = np.hstack([z, np.ones((len(z), 1))])
             cur = pdf["cur"].to_numpy()
             mixed = (pdf["h"].to_numpy(dtype=np.int64)[:, None] ^ draws[None, :]).astype(np.uint64)
-            mixed = (mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
-            side = np.hstack([cur[:, None], mixed.astype(np.int64)])
+            mixed ^= mixed >> np.uint64(32)  # from the second multiplication on every bit depends on every bit
+            mixed *= np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            mixed = (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(11)
+            side = np.hstack([cur[:, None], mixed < share * 2.0**53])
             ones = side.T @ z
             total[:, 1] += ones
             total[:, 0] += z.sum(axis=0) - ones
@@ -45,9 +53,13 @@ def mmd_drift(df: DataFrame, key: str, vector: str, is_current: Column, p_value:
     parts = rows.mapInPandas(sums, "draw INT, side INT, sums ARRAY<DOUBLE>")
     added = parts.select("draw", "side", F.posexplode("sums").alias("i", "x")).groupBy("draw", "i").pivot("side", [0, 1]).agg(F.sum("x"))
     n = added.where(F.col("i") == FREQUENCIES).select("draw", F.col("0").alias("n0"), F.col("1").alias("n1"))
-    gap = F.col("0") / F.col("n0") - F.col("1") / F.col("n1")
-    stats = added.where(F.col("i") < FREQUENCIES).join(n, "draw").groupBy("draw").agg(F.sum(gap * gap).alias("d"))
-    observed = F.max(F.when(F.col("draw") == 0, F.col("d")))
-    wide = stats.agg(observed.alias("distance"), F.collect_list(F.when(F.col("draw") > 0, F.col("d"))).alias("null"))
-    p = (1 + F.size(F.filter("null", lambda x: x >= F.col("distance")))) / F.lit(float(PERMUTATIONS + 1))
+    filled = (F.col("n0") > 0) & (F.col("n1") > 0)  # a draw may leave one side empty: then there is no gap
+    gap = F.when(filled, F.col("0") / F.col("n0") - F.col("1") / F.col("n1")).otherwise(F.lit(0.0))
+    weight = F.max(F.when(filled, F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1"))).otherwise(F.lit(0.0)))
+    stats = added.where(F.col("i") < FREQUENCIES).join(n, "draw").groupBy("draw").agg(
+        F.sum(gap * gap).alias("d"), (F.sum(gap * gap) * weight).alias("w"))
+    wide = stats.agg(
+        F.max(F.when(F.col("draw") == 0, F.col("d"))).alias("distance"), F.max(F.when(F.col("draw") == 0, F.col("w"))).alias("seen"),
+        F.collect_list(F.when(F.col("draw") > 0, F.col("w"))).alias("null"))
+    p = (1 + F.size(F.filter("null", lambda x: x >= F.col("seen")))) / F.lit(float(PERMUTATIONS + 1))
     return wide.select("distance", p.alias("p_value")).withColumn("drift", F.col("p_value") < p_value)

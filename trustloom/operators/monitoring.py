@@ -31,10 +31,15 @@ def outcome_flags(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFr
                            "_fn": flag((y == 1) & (p == 0)), "_good": flag(y == p)})
 
 
-def rolling_performance(df: DataFrame, group: list[str], ts: str, row_id: str, size: int = WINDOW_ROWS) -> DataFrame:
-    """Metrics over the last ``size`` predictions of each group, on every prediction."""
-    narrow = outcome_flags(df.select(row_id, *group, ts, "y_true", "y_pred")).drop("y_true", "y_pred")
-    numbered = row_numbers(narrow, group, [ts, row_id])
+def rolling_performance(df: DataFrame, group: list[str], ts: str, row_id: str, size: int = WINDOW_ROWS,
+                        arrival: str | None = None) -> DataFrame:
+    """Metrics over the last ``size`` predictions of each group, on every prediction.
+
+    Predictions are in order of ``arrival`` (a number), if it is given, then of time and id.
+    """
+    first = [arrival] if arrival else []
+    narrow = outcome_flags(df.select(row_id, *group, ts, *first, "y_true", "y_pred")).drop("y_true", "y_pred")
+    numbered = row_numbers(narrow, group, [*first, ts, row_id])
     counts = {c: F.sum(c) for c in ("_tp", "_fp", "_fn", "_good")}
     rolled = rolling_rows(numbered, group, size, {"window_count": F.count("*"), **{
         f"w{c}": agg for c, agg in counts.items()}})

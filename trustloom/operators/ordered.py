@@ -65,12 +65,17 @@ def with_shards(df: DataFrame, order: Sequence[str], n: int | None = None) -> Da
     return out.withColumn("_shard", base).drop("_p")
 
 
-def _offsets(df: DataFrame, group: Sequence[str], sums: Sequence[str], descending: bool) -> DataFrame:
+def group_key(group: Sequence[str]) -> Column:
+    """The group columns as one value that is never null itself, so that joins on it also match groups with null parts."""
+    return F.struct(*[F.col(c) for c in group] or [F.lit(0).alias("all")])
+
+
+def _offsets(df: DataFrame, sums: Sequence[str], descending: bool) -> DataFrame:
     """Totals of all earlier shards: one row per (group, shard), so a window over them is small."""
-    per_shard = df.groupBy(*group, "_shard").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    per_shard = df.groupBy("_g", "_shard").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     order = F.col("_shard").desc() if descending else F.col("_shard").asc()
-    w = W.partitionBy(*(group or [F.lit(0)])).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return per_shard.select(*group, "_shard", *[
+    w = W.partitionBy("_g").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return per_shard.select("_g", "_shard", *[
         F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in sums])
 
 
@@ -79,22 +84,22 @@ def running_sums(df: DataFrame, group: Sequence[str], value: str, sums: Sequence
     """Running totals along ``value`` as ``run_<name>``, one row per distinct value of each group."""
     group = list(group)
     points = df.groupBy(*group, value).agg(*[F.sum(c).alias(c) for c in sums])
-    sharded = with_shards(points, [value], n)
-    offsets = _offsets(sharded, group, sums, descending)
+    sharded = with_shards(points, [value], n).withColumn("_g", group_key(group))
+    offsets = _offsets(sharded, sums, descending)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    w = W.partitionBy(*group, "_shard").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    keyed = sharded.join(offsets, [*group, "_shard"])
+    w = W.partitionBy("_g", "_shard").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    keyed = sharded.join(offsets, ["_g", "_shard"])
     return keyed.select(*group, value, *sums, *[(F.sum(c).over(w) + F.col(f"_o_{c}")).alias(f"run_{c}") for c in sums])
 
 
 def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int | None = None) -> DataFrame:
     """Add ``rn``, the position (from 1) of each row of its group along ``order``."""
     group = list(group)
-    sharded = with_shards(df, order, n).withColumn("_one", F.lit(1))
-    offsets = _offsets(sharded, group, ["_one"], False)
-    w = W.partitionBy(*group, "_shard").orderBy(*order)
-    keyed = sharded.join(offsets, [*group, "_shard"])
-    return keyed.withColumn("rn", F.row_number().over(w) + F.col("_o__one")).drop("_shard", "_one", "_o__one")
+    sharded = with_shards(df, order, n).withColumns({"_one": F.lit(1), "_g": group_key(group)})
+    offsets = _offsets(sharded, ["_one"], False)
+    w = W.partitionBy("_g", "_shard").orderBy(*order)
+    keyed = sharded.join(offsets, ["_g", "_shard"])
+    return keyed.withColumn("rn", F.row_number().over(w) + F.col("_o__one")).drop("_g", "_shard", "_one", "_o__one")
 
 
 def rolling_rows(df: DataFrame, group: Sequence[str], size: int, aggs: dict[str, Column]) -> DataFrame:
@@ -117,11 +122,8 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[f
     group = list(group)
     counted = df.where(F.col(value).isNotNull()).select(*group, value, F.lit(1).alias("n"))
     runs = running_sums(counted, group, value, ["n"], n=n)
-    totals = runs.groupBy(*group).agg(F.sum("n").alias("total")) if group else runs.agg(F.sum("n").alias("total"))
-    if group:
-        placed = runs.join(totals, group)
-    else:
-        placed = runs.withColumn("_k", F.lit(0)).join(totals.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    runs = runs.withColumn("_g", group_key(group))
+    placed = runs.join(runs.groupBy("_g").agg(F.sum("n").alias("total")), "_g")
     before, upto, last = F.col("run_n") - F.col("n"), F.col("run_n"), F.col("total") - 1
     picks = []
     for i, p in enumerate(probs):

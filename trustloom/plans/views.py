@@ -71,11 +71,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     def texts(self, name: str, key: str) -> DataFrame:
-        """A base table with long texts. A table of few files gives few tasks, so its rows are spread over the cores; a
-        table of many files already has enough splits and is read as it is."""
+        """A base table with long texts, read as it is. Where its files give too few tasks, the session may name a number
+        of partitions to deal the rows to (``trustloom.text.partitions``); nothing is looked up or decided here."""
         df = self.base(name)
-        width = self.spark.sparkContext.defaultParallelism
-        return df.repartition(width, key) if len(df.inputFiles()) < width else df
+        parts = self.spark.conf.get("trustloom.text.partitions", None)
+        return df.repartition(int(parts), key) if parts else df
 
     def events(self) -> DataFrame:
         return self.base("events").withColumn("ts", F.col("ts").cast("timestamp"))

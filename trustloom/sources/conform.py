@@ -78,7 +78,9 @@ def content_items(df: DataFrame, collected_at: Column | None = None) -> DataFram
     extra = F.create_map(
         F.lit("content_id"), content_id(F.col("platform"), F.col("text"), F.col("user_id"), F.col("timestamp")),
         F.lit("collected_at"), _or_now(collected_at).cast("string"))
-    return base.withColumn("metadata", F.map_concat("metadata", extra))
+    kept = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")),
+                        lambda k, v: ~k.isin("content_id", "collected_at"))
+    return base.withColumn("metadata", F.map_concat(kept, extra))
 
 
 def flatten_nested(df: DataFrame, per_business: int, key: str = "business_id") -> DataFrame:

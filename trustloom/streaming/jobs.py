@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trustloom.operators import moderation as P, monitoring as M, quality as Q, ranking as K
-from trustloom.operators.ordered import row_numbers
+from trustloom.operators.ordered import group_key, row_numbers
 
 DELAY = "10 minutes"
 
@@ -109,16 +109,16 @@ def rolling_performance(scored: DataFrame, group: str, ts: str, row_id: str, res
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*cols).withColumn("fresh", F.lit(True))
+        rows = batch.select(*cols, F.lit(batch_id).cast("long").alias("arrived"))
         if batch_id:
-            rows = rows.unionByName(spark.read.parquet(f"{tail}/batch={batch_id - 1}").withColumn("fresh", F.lit(False)))
+            rows = rows.unionByName(spark.read.parquet(f"{tail}/batch={batch_id - 1}"))
         rows = rows.persist()
-        metrics = M.rolling_performance(rows, [group], ts, row_id, size)
-        fresh = rows.where("fresh").select(row_id)
-        store(metrics.join(fresh, row_id, "left_semi").drop("rn"), results, batch_id)
-        numbered = row_numbers(rows.drop("fresh"), [group], [ts, row_id])
-        last = numbered.groupBy(group).agg(F.max("rn").alias("_last"))
-        store(numbered.join(last, group).where(F.col("rn") > F.col("_last") - (size - 1)).select(*cols), tail, batch_id)
+        metrics = M.rolling_performance(rows, [group], ts, row_id, size, "arrived")
+        fresh = rows.where(F.col("arrived") == batch_id).select(row_id)
+        store(metrics.drop("arrived").join(fresh, row_id, "left_semi").drop("rn"), results, batch_id)
+        numbered = row_numbers(rows, [group], ["arrived", ts, row_id]).withColumn("_g", group_key([group]))
+        last = numbered.groupBy("_g").agg(F.max("rn").alias("_last"))
+        store(numbered.join(last, "_g").where(F.col("rn") > F.col("_last") - (size - 1)).select(*cols, "arrived"), tail, batch_id)
         rows.unpersist()
 
     run_batches(scored, handle, checkpoint)
