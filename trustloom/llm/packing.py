@@ -42,9 +42,9 @@ class _Ids(dict):
     put together from smaller ones where the pattern cuts anyway: around a line end between two characters, and between
     letters and the marks after them."""
 
-    def __init__(self, encode, lead: str = " ", bare: _Ids | None = None):
+    def __init__(self, encode, encode_word, lead: str = " ", bare: _Ids | None = None):
         super().__init__()
-        self.encode, self.lead, self.bare = encode, lead, self if bare is None else bare
+        self.encode, self.encode_word, self.lead, self.bare = encode, encode_word, lead, self if bare is None else bare
 
     def __missing__(self, part: str) -> bytes:
         if not part or part[0].isspace():  # runs of white space are not cut
@@ -58,11 +58,18 @@ class _Ids(dict):
         elif word and word[1].isalpha():
             got = self[word[1]] + self.bare[word[2]]
         else:
-            got = self.encode(self.lead + part)
+            got = (self.encode_word if part.isalpha() else self.encode)(self.lead + part)
         self[part] = got
         return got
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models write bytes: visible ones as themselves, the others as the characters from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 _MEMOS: dict[str, tuple[_Ids, _Ids]] = {}
 
 
@@ -72,13 +79,18 @@ def _memos(tokenizer: str) -> tuple[_Ids, _Ids]:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(tokenizer)
+        model, letters = tok.model, str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
         def encode(text):
             return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        bare = _Ids(encode, "")
+        def encode_word(text):  # the pattern leaves it whole, so only the tokenizer's merges are needed
+            found = model.tokenize(text.encode().decode("latin-1").translate(letters))
+            return np.array([t.id for t in found], "<u4").tobytes()
+
+        bare = _Ids(encode, encode_word, "")
         bare.lines = encode("\n")
-        _MEMOS[tokenizer] = bare, _Ids(encode, " ", bare)
+        _MEMOS[tokenizer] = bare, _Ids(encode, encode_word, " ", bare)
     return _MEMOS[tokenizer]
 
 
