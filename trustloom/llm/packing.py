@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from struct import pack as packed_ids
 
 import numpy as np
 import pyarrow as pa
@@ -47,18 +48,20 @@ class _Ids(dict):
         self.encode, self.encode_word, self.lead, self.bare = encode, encode_word, lead, self if bare is None else bare
 
     def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace():  # runs of white space are not cut
-            raise KeyError(part)
         if len(self) >= MEMO:
             self.clear()
-        before, line, after = part.partition("\n")
-        word = _WORD_MARKS.fullmatch(part)
-        if line and after and not (before[-1].isspace() or after[0].isspace()):
-            got = self[before] + self.bare.lines + self.bare[after]
-        elif word and word[1].isalpha():
+        if part.isalpha():
+            got = self.encode_word(self.lead + part)
+        elif not part or part[0].isspace():  # runs of white space are not cut
+            raise KeyError(part)
+        elif (word := _WORD_MARKS.fullmatch(part)) and word[1].isalpha():
             got = self[word[1]] + self.bare[word[2]]
         else:
-            got = (self.encode_word if part.isalpha() else self.encode)(self.lead + part)
+            before, line, after = part.partition("\n")
+            if line and after and not (before[-1].isspace() or after[0].isspace()):
+                got = self[before] + self.bare.lines + self.bare[after]
+            else:
+                got = self.encode(self.lead + part)
         self[part] = got
         return got
 
@@ -86,7 +89,7 @@ def _memos(tokenizer: str) -> tuple[_Ids, _Ids]:
 
         def encode_word(text):  # the pattern leaves it whole, so only the tokenizer's merges are needed
             found = model.tokenize(text.encode().decode("latin-1").translate(letters))
-            return np.array([t.id for t in found], "<u4").tobytes()
+            return packed_ids(f"<{len(found)}I", *[t.id for t in found])
 
         bare = _Ids(encode, encode_word, "")
         bare.lines = encode("\n")
