@@ -30,3 +30,8 @@ def hash_percent(key: Column) -> Column:
 def hash_unit(*keys: Column) -> Column:
     """Repeatable pseudo-random number in [0, 1) from row keys and a seed."""
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+
+
+def md5_order(key: Column, seed: int) -> Column:
+    """Repeatable order of rows: 52 bits of the md5 digest of key and seed, the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("bigint")

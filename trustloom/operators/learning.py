@@ -15,11 +15,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustloom.functions.numeric import hash_unit
+from trustloom.functions.numeric import hash_unit, md5_order
 from trustloom.operators.evaluation import class_weights
 from trustloom.operators.ordered import quantiles, row_numbers
 from trustloom.operators.similarity import nearest
-from trustloom.session import written
+from trustloom.session import shard_count, written
 
 SEED = 42
 ENSEMBLE = {"random_forest": 0.25, "boosted_trees": 0.35, "neural_network": 0.25, "linear_svc": 0.15}
@@ -40,7 +40,7 @@ def estimators(seed: int = SEED, small: bool = False) -> dict:
 
 def _ranked(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     """Position of each row of its class in a hash order."""
-    return row_numbers(df.withColumn("_h", F.xxhash64(key, F.lit(seed))), [label], ["_h", key]).drop("_h")
+    return row_numbers(df.withColumn("_h", md5_order(F.col(key), seed)), [label], ["_h", key]).drop("_h")
 
 
 def split_stratified(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = SEED) -> DataFrame:
@@ -54,11 +54,18 @@ def with_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int =
     return _ranked(df, label, key, seed).withColumn("fold", ((F.col("rn") - 1) % folds).cast("int")).drop("rn")
 
 
+def assembled(df: DataFrame, features: Sequence[str], fill: bool = False) -> DataFrame:
+    """Rows with their feature vector, as scoring needs them: no label, no weight. A row with a missing feature keeps NaN
+    there (and gets the neutral probability), unless ``fill`` puts 0."""
+    rows = df.fillna(0, list(features)) if fill else df
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(rows)
+
+
 def training_rows(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """Assembled features, numeric label and balanced class weight."""
-    rows = df.where(F.col(label).isNotNull()).join(class_weights(df, label).select(label, "weight"), label)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    return assembler.transform(rows.fillna(0, list(features))).withColumn("label", F.col(label).cast("double"))
+    """Assembled features, numeric label and balanced class weight (one row per class, broadcast)."""
+    weights = F.broadcast(class_weights(df, label).select(label, "weight"))
+    rows = df.where(F.col(label).isNotNull()).join(weights, label)
+    return assembled(rows, features, fill=True).withColumn("label", F.col(label).cast("double"))
 
 
 def fit(name: str, rows: DataFrame, seed: int = SEED, small: bool = False) -> PipelineModel:
@@ -214,9 +221,13 @@ def select_features(rows: DataFrame, features: Sequence[str], method: str, k: in
 
 
 def word_vectors(df: DataFrame, key: str, tokens: str, size: int = 100, window: int = 5, min_count: int = 2,
-                 seed: int = SEED) -> DataFrame:
-    """Mean word vector of each text."""
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=1, inputCol=tokens, outputCol="_v")
+                 seed: int = SEED, rounds: int = 5) -> DataFrame:
+    """Mean word vector of each text, learned in as many partitions as the session shuffles into.
+
+    The word vectors (vocabulary x size) are held by the driver between rounds: MLlib's own limit.
+    """
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=rounds,
+                     numPartitions=shard_count(df.sparkSession), inputCol=tokens, outputCol="_v")
     return model.fit(df).transform(df).select(key, vector_to_array("_v").alias("embedding"))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from trustloom.functions.numeric import md5_order
+
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows per key along an explicit order, with their ``position``."""
@@ -27,7 +29,7 @@ def top_by(df: DataFrame, value: str, name: str, n: int) -> DataFrame:
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement, the same on every run."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(md5_order(F.col(key), seed), key).limit(n)
 
 
 def best_by(df: DataFrame, score: str, name: str) -> DataFrame:

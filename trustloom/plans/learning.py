@@ -33,21 +33,29 @@ def parts(t):
     return train, test
 
 
+ORDER_SQL = "CAST('0x' || substr(md5({key} || ':{seed}'), 1, 13) AS BIGINT)"
+RANKED_SQL = f"""ranked AS (SELECT review_id, is_fake, row_number() OVER (PARTITION BY is_fake ORDER BY
+{ORDER_SQL.format(key='review_id', seed=L.SEED)}, review_id) AS rn, count(*) OVER (PARTITION BY is_fake) AS n FROM reviews_v
+WHERE is_fake IS NOT NULL)"""
+
+
+def labelled_keys(t):
+    return t.reviews().where("is_fake IS NOT NULL").select("review_id", "is_fake")
+
+
 @query("split_stratified", with_views("""
-SELECT is_fake, count(*) AS rows, CAST(floor(count(*) * 0.8) AS BIGINT) AS train_rows FROM reviews_v WHERE is_fake IS NOT NULL
-GROUP BY is_fake""", reviews=True))
+SELECT review_id, is_fake, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM ranked""", reviews=True,
+                                      extra=RANKED_SQL))
 def split_stratified(t):
-    out = L.split_stratified(t.reviews().where("is_fake IS NOT NULL").select("review_id", "is_fake"), "is_fake", "review_id")
-    return out.groupBy("is_fake").agg(F.count("*").alias("rows"), F.count(F.when(C("part") == "train", 1)).alias("train_rows"))
+    return L.split_stratified(labelled_keys(t), "is_fake", "review_id").select("review_id", "is_fake", "part")
 
 
-@query("seed")
+@query("seed", with_views("SELECT review_id, is_fake, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM ranked", reviews=True, extra=RANKED_SQL))
 def seed(t):
-    rows = t.reviews().where("is_fake IS NOT NULL").select("review_id", "is_fake")
-    return L.with_folds(rows, "is_fake", "review_id").groupBy("is_fake", "fold").agg(F.count("*").alias("rows"))
+    return L.with_folds(labelled_keys(t), "is_fake", "review_id").select("review_id", "is_fake", "fold")
 
 
-@query("sample_rows")
+@query("sample_rows", f"SELECT event_id, value FROM events ORDER BY {ORDER_SQL.format(key='event_id', seed=L.SEED)}, event_id LIMIT 500")
 def sample_rows(t):
     return K.sample_rows(t.base("events").select("event_id", "value"), "event_id", 500, L.SEED)
 
@@ -55,13 +63,13 @@ def sample_rows(t):
 @query("train_classifiers")
 def train_classifiers(t):
     train, test = parts(t)
-    return L.train_all(train, test, small=True)[1]
+    return L.train_all(train, test)[1]
 
 
 @query("select_best")
 def select_best(t):
     train, test = parts(t)
-    table = L.train_all(train, test, ["logistic_regression", "random_forest"], small=True)[1]
+    table = L.train_all(train, test)[1]
     return K.best_by(table.where("metric = 'f1_score'"), "value", "model").select("model", "value")
 
 
@@ -76,13 +84,13 @@ def tune_model(t):
 @query("batch_predict")
 def batch_predict(t):
     train, _ = parts(t)
-    model = L.fit("random_forest", train, small=True)
+    model = L.fit("random_forest", train)
     text = C("review_text")
     rows = t.reviews().select(
-        "review_id", F.lit(0).alias("is_fake"), X.text_length(text).alias("text_length"), X.word_count(text).alias("word_count"),
+        "review_id", X.text_length(text).alias("text_length"), X.word_count(text).alias("word_count"),
         X.share_of(text, X.UPPER).alias("uppercase_ratio"), X.share_of(text, X.PUNCTUATION).alias("punctuation_ratio"), "rating",
         F.hour("date").alias("hour"))
-    return L.predict(model, L.training_rows(rows, "is_fake", FEATURES)).select("review_id", "p_fake")
+    return L.predict(model, L.assembled(rows, FEATURES)).select("review_id", "p_fake")
 
 
 @query("assemble")
@@ -92,7 +100,8 @@ def assemble(t):
     return L.training_rows(labelled(t), "is_fake", FEATURES).select("review_id", vector_to_array("features").alias("features"))
 
 
-@query("save_load_model")
+@query("save_load_model", with_views("SELECT review_id, true AS same FROM ranked WHERE rn > floor(n * 0.8)", reviews=True,
+                                     extra=RANKED_SQL))
 def save_load_model(t):
     train, test = parts(t)
     folder = scratch_path(t.spark, "models")
@@ -104,7 +113,10 @@ def save_load_model(t):
     return a.join(b, "review_id").select("review_id", (C("before") == C("after")).alias("same"))
 
 
-@query("model_info")
+@query("model_info", with_views("""
+SELECT 'logistic_regression' AS name, '{"regParam":"0.01"}' AS params, 5 AS n_scores, CAST(sum(n) AS BIGINT) AS rows,
+  '[' || string_agg('{"is_fake":' || is_fake || ',"rows":' || n || '}', ',' ORDER BY is_fake) || ']' AS classes
+FROM (SELECT is_fake, count(*) AS n FROM ranked WHERE rn <= floor(n * 0.8) GROUP BY 1)""", reviews=True, extra=RANKED_SQL))
 def model_info(t):
     train, test = parts(t)
     folder = scratch_path(t.spark, "models")
@@ -113,34 +125,34 @@ def model_info(t):
                  train.count(), dt.datetime(2024, 1, 25))
     shares = E.class_distribution(train.select("is_fake"), "is_fake", []).agg(
         F.to_json(F.sort_array(F.collect_list(F.struct("is_fake", "rows")))).alias("classes"))
-    card = M.cards(t.spark, folder).select("name", F.to_json("params").alias("params"), F.to_json("scores").alias("scores"), "rows")
+    card = M.cards(t.spark, folder).select("name", F.to_json("params").alias("params"), F.size("scores").alias("n_scores"), "rows")
     return card.withColumn("k", F.lit(0)).join(shares.withColumn("k", F.lit(0)), "k").drop("k")
 
 
 @query("feature_importance")
 def feature_importance(t):
     train, _ = parts(t)
-    return L.feature_importance(t.spark, L.fit("random_forest", train, small=True), FEATURES)
+    return L.feature_importance(t.spark, L.fit("random_forest", train), FEATURES)
 
 
 @query("permutation_importance")
 def permutation_importance(t):
     train, test = parts(t)
-    return L.permutation_importance(L.fit("random_forest", train, small=True), test, "review_id", FEATURES, 3)
+    return L.permutation_importance(L.fit("random_forest", train), test, "review_id", FEATURES)
 
 
 @query("partial_dependence")
 def partial_dependence(t):
     train, test = parts(t)
-    return L.partial_dependence(L.fit("random_forest", train, small=True), test, "review_id", FEATURES, "text_length")
+    return L.partial_dependence(L.fit("random_forest", train), test, "review_id", FEATURES, "text_length")
 
 
 @query("interpretation_report")
 def interpretation_report(t):
     train, test = parts(t)
-    model = L.fit("random_forest", train, small=True)
+    model = L.fit("random_forest", train)
     trees = K.top_by(L.feature_importance(t.spark, model, FEATURES), "importance", "feature", 10)
-    perm = L.permutation_importance(model, test, "review_id", FEATURES, 2)
+    perm = L.permutation_importance(model, test, "review_id", FEATURES)
     return trees.withColumn("method", F.lit("importance")).unionByName(
         perm.select("feature", C("importance_mean").alias("importance"), F.lit("permutation").alias("method")))
 
@@ -217,7 +229,7 @@ def smote(t):
 @query("word2vec")
 def word2vec(t):
     docs = written(t.reviews().select("review_id", X.terms(C("review_text")).alias("terms")), "terms")
-    return L.word_vectors(docs, "review_id", "terms", size=16)
+    return L.word_vectors(docs, "review_id", "terms")
 
 
 @query("mmd_drift")

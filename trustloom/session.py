@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,7 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="trustloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)  # only the folder made here
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
