@@ -8,6 +8,7 @@ from trustloom.functions import numeric as N, temporal as D, text as X
 from trustloom.operators import behaviour as B, graph as G
 from trustloom.operators.ordered import HOT_ROWS, attach, quantiles
 from trustloom.schema import DEFAULT_COLUMNS, ColumnSpec
+from trustloom.session import written
 
 TEXT_RATIOS = {"uppercase_ratio": X.UPPER, "digit_ratio": X.DIGIT, "punctuation_ratio": X.PUNCTUATION,
                "special_char_ratio": X.SPECIAL}
@@ -28,8 +29,8 @@ def preprocess(df: DataFrame, now: Column, missing: str = "fill", cols: ColumnSp
                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Cleaned text plus text, rating, time, user and product features per review.
 
-    All text work happens in the first projection. The statistics and windows run over ids, date, rating and length alone;
-    what they add meets the texts once, by review id, which must be a review's own.
+    The statistics and windows run over a written table of ids, date, rating and length, so the texts are read twice in all:
+    for their length, and for the result, which what was added joins once by review id. That id must be a review's own.
     """
     if missing == "drop":
         df = df.dropna(subset=[cols.text])
@@ -41,7 +42,7 @@ def preprocess(df: DataFrame, now: Column, missing: str = "fill", cols: ColumnSp
         "rating_is_extreme": N.is_extreme(raw), "rating_numerical": N.rating_value(raw),
     } | D.calendar_parts(F.col(cols.date)))
     needed = [cols.review_id, cols.user_id, cols.product_id, cols.date, "rating_numerical", "text_length"]
-    narrow = measured.select(*needed)
+    narrow = written(measured.select(*needed), "narrow-reviews")
     out = B.with_temporal_anomaly(narrow, now, cols=cols)
     for key, prefix in ((cols.user_id, "user"), (cols.product_id, "product")):
         stats = narrow.where(F.col(key).isNotNull()).groupBy(key).agg(
