@@ -49,3 +49,13 @@ def test_rolling_and_bursts(reviews):
 def test_user_temporal(reviews):
     got = {r["user_id"]: r for r in B.user_temporal(reviews).collect()}
     assert got["a"]["reviews_in_1_hour"] == 2 and got["a"]["most_active_hour"] == 10 and got["c"]["avg_time_between_reviews"] == 0
+
+
+@pytest.mark.parametrize("hot_rows", [5, 10**9])
+def test_many_reviews_at_one_instant(spark, hot_rows):
+    rows = [(i, "hot" if i % 3 else None, "p", 5.0, "x", at(0 if i < 300 else i)) for i in range(400)]
+    got = {r["review_id"]: r["gap_hours"] for r in B.with_gap_hours(spark.createDataFrame(rows, DDL), hot_rows=hot_rows).collect()}
+    assert len(got) == 400 and got[1] is None and all(got[i] == 0 for i in range(2, 300) if i % 3)
+    assert got[301] == 301 - 0 and got[302] == 1 and got[304] == 2 and all(got[i] is None for i in range(0, 400, 3))
+    bursts = B.review_bursts(spark.createDataFrame(rows, DDL)).collect()
+    assert [(r["user_id"], r["reviews"]) for r in bursts if r["reviews"] > 2] == [("hot", 200)]

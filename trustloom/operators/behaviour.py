@@ -1,8 +1,9 @@
 """Per-user, per-product and time-based behaviour of reviewers.
 
-Nothing here opens a window over a whole user or product. Order-dependent measures work inside one bucket of time per
-user and carry one summary row per bucket across (a user has at most one per bucket of the calendar), so a user with a
-third of all reviews is spread over as many tasks as there are hours of data.
+Nothing here opens a window over a whole user or product. Order-dependent measures first count reviews per user and point
+in time, then work inside one bucket of time per user and carry one summary row per bucket across (a user has at most one
+per bucket of the calendar), so a user with a third of all reviews is spread over as many tasks as there are hours of data,
+and many reviews at one instant are one row.
 """
 
 from __future__ import annotations
@@ -70,30 +71,34 @@ def user_profile(df: DataFrame, cols: ColumnSpec = DEFAULT_COLUMNS) -> DataFrame
     }).withColumn("reviews_per_day", F.col("rating_count") / (F.col("account_age_days") + 1))
 
 
-def _bucketed(df: DataFrame, date: str, row_id: str, width: int) -> DataFrame:
-    """Add the time bucket; rows without a date take no part in the order and are spread by hash."""
-    return df.withColumn("_bucket", F.when(F.col(date).isNull(), -1 - F.pmod(F.xxhash64(row_id), F.lit(4096)))
-                         .otherwise(F.floor(F.unix_seconds(date) / width)))
-
-
-def _carry(df: DataFrame, user: str, last: Column, over: str, out: str) -> DataFrame:
+def _carry(df: DataFrame, user: str, last: Column, out: str) -> DataFrame:
     """One row per (user, bucket): the last non-null summary of all earlier buckets."""
-    per_bucket = df.where(F.col("_bucket") >= 0).groupBy(user, "_bucket").agg(last.alias("_last"))
+    per_bucket = df.groupBy(user, "_bucket").agg(last.alias("_last"))
     w = W.partitionBy(user).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     return per_bucket.select(user, "_bucket", F.max("_last").over(w).alias(out))
 
 
-def with_gap_hours(df: DataFrame, cols: ColumnSpec = DEFAULT_COLUMNS, width: int = BUCKET_SECONDS) -> DataFrame:
-    """Hours since the same user's previous review (``gap_hours``), null for the first one."""
-    user, date, rid = cols.user_id, cols.date, cols.review_id
-    rows = _bucketed(df, date, rid, width)
-    w = W.partitionBy(user, "_bucket").orderBy(date, rid)
-    inside = rows.withColumn("_prev", F.lag(date).over(w))
-    carry = _carry(rows, user, F.max(date), date, "_carry")
-    known = F.col(user).isNotNull() & F.col(date).isNotNull()
-    out = inside.join(carry, [user, "_bucket"], "left")
-    gap = D.hours_between(F.col(date), F.coalesce("_prev", "_carry"))
-    return out.select(*df.columns, F.when(known, gap).alias("gap_hours"))
+def _instants(df: DataFrame, cols: ColumnSpec, width: int) -> DataFrame:
+    """One row per user and point in time: number of reviews ``_n``, the first of them ``_first``, the hours since the user's
+    previous point ``_gap`` and the time bucket. Counting comes first, so however many reviews a user has at one time, a
+    window holds at most one row per point in time of one bucket."""
+    user, date = cols.user_id, cols.date
+    points = df.where(F.col(user).isNotNull() & F.col(date).isNotNull()).groupBy(user, date).agg(
+        F.count("*").alias("_n"), F.min(cols.review_id).alias("_first"))
+    points = points.withColumn("_bucket", F.floor(F.unix_seconds(date) / width))
+    before = F.lag(date).over(W.partitionBy(user, "_bucket").orderBy(date))
+    inside = points.withColumn("_prev", before).join(_carry(points, user, F.max(date), "_carry"), [user, "_bucket"])
+    return inside.select(user, date, "_n", "_first", "_bucket", D.hours_between(F.col(date), F.coalesce("_prev", "_carry")).alias("_gap"))
+
+
+def with_gap_hours(df: DataFrame, cols: ColumnSpec = DEFAULT_COLUMNS, width: int = BUCKET_SECONDS,
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Hours since the same user's previous review (``gap_hours``), null for the first one; reviews of one time follow each
+    other in the order of their ids, at 0 hours."""
+    points = _instants(df, cols, width).drop("_bucket")
+    out = attach(df, points, [cols.user_id, cols.date], cols.review_id, "_n", hot_rows)
+    gap = F.when(F.col(cols.review_id).eqNullSafe(F.col("_first")), F.col("_gap")).when(F.col("_n").isNotNull(), 0.0)
+    return out.select(*df.columns, gap.alias("gap_hours"))
 
 
 def with_temporal_anomaly(df: DataFrame, now: Column, threshold_days: float = 1.0,
@@ -166,16 +171,14 @@ def rolling_activity(df: DataFrame, windows: dict[str, int] = ROLLING_SECONDS,
 def review_bursts(df: DataFrame, max_gap_hours: float = 1.0, cols: ColumnSpec = DEFAULT_COLUMNS,
                   width: int = BUCKET_SECONDS) -> DataFrame:
     """Runs of at least two reviews of one user, each within the gap of the one before: start, end, length."""
-    user, date, rid = cols.user_id, cols.date, cols.review_id
-    narrow = df.where(F.col(user).isNotNull() & F.col(date).isNotNull()).select(rid, user, date)
-    gaps = with_gap_hours(narrow, cols, width)
-    starts = _bucketed(gaps, date, rid, width).withColumn(
-        "_start", F.when(F.coalesce(F.col("gap_hours") >= max_gap_hours, F.lit(True)), F.col(date)))
-    w = W.partitionBy(user, "_bucket").orderBy(date, rid).rowsBetween(W.unboundedPreceding, 0)
-    carry = _carry(starts, user, F.max("_start"), date, "_carry")
-    runs = starts.withColumn("_run", F.max("_start").over(w)).join(carry, [user, "_bucket"], "left")
+    user, date = cols.user_id, cols.date
+    starts = _instants(df, cols, width).withColumn(
+        "_start", F.when(F.coalesce(F.col("_gap") >= max_gap_hours, F.lit(True)), F.col(date)))
+    w = W.partitionBy(user, "_bucket").orderBy(date).rowsBetween(W.unboundedPreceding, 0)
+    carry = _carry(starts, user, F.max("_start"), "_carry")
+    runs = starts.withColumn("_run", F.max("_start").over(w)).join(carry, [user, "_bucket"])
     return runs.groupBy(user, F.coalesce("_run", "_carry").alias("burst_start")).agg(
-        F.max(date).alias("burst_end"), F.count("*").alias("reviews")).where(F.col("reviews") > 1)
+        F.max(date).alias("burst_end"), F.sum("_n").alias("reviews")).where(F.col("reviews") > 1)
 
 
 def suspicious_users(df: DataFrame, now: Column, cols: ColumnSpec = DEFAULT_COLUMNS) -> DataFrame:
