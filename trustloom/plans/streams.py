@@ -134,6 +134,33 @@ def stream_retrain_events(t):
                       F.get_json_object("details", "$.platform").alias("platform"))
 
 
+# The stored reference of the drift check: five equal shares of a probability.
+CUTS, SHARES = [0.2, 0.4, 0.6, 0.8], [0.2] * 5
+DRIFT_SQL = """drift AS (SELECT epoch_us(ts) // 1800000000 * 1800 AS start, count(*) AS n, """ + " + ".join(
+    f"((count(*) FILTER (WHERE p_fake >= {lo} AND p_fake < {hi})) / count(*) + 1e-6 - 0.200001) * ln(((count(*) FILTER (WHERE "
+    f"p_fake >= {lo} AND p_fake < {hi})) / count(*) + 1e-6) / 0.200001)" for lo, hi in zip([-1, *CUTS], [*CUTS, 2])) + """ AS psi
+FROM scored_v GROUP BY 1)"""
+
+
+def drift_stream(t):
+    rows = landed(t, t.scored().select("ts", "p_fake"), {"p_fake": 0.0})
+    return J.drift_checks(rows, "ts", "p_fake", CUTS, SHARES)
+
+
+@query("stream_drift_checks", with_views(f"SELECT start, n, {r6('psi')} AS psi, psi > 0.25 AS drift FROM drift", scored=True, extra=DRIFT_SQL))
+def stream_drift_checks(t):
+    return finished(t, drift_stream(t)).select(F.unix_seconds("start").alias("start"), "n", round6("psi").alias("psi"), "drift")
+
+
+@query("stream_drift_events", with_views("SELECT start, 'data_drift' AS reason, n FROM drift WHERE psi > 0.25 AND n >= 5", scored=True,
+                                         extra=DRIFT_SQL))
+def stream_drift_events(t):
+    table = scratch_path(t.spark, "retrain")
+    J.on_retrain(J.drift_events(drift_stream(t), 5), table, scratch_path(t.spark, "stream-checkpoint"))
+    return t.spark.read.parquet(table).select(
+        F.unix_seconds("start").alias("start"), "reason", F.get_json_object("details", "$.n").cast("bigint").alias("n"))
+
+
 @query("stream_rolling_performance", with_views(f"""
 SELECT prediction_id, platform, n AS window_count, {r6('precision')} AS precision, {r6('accuracy')} AS accuracy FROM perf""",
                                                 scored=True, extra=ROLL_SQL))

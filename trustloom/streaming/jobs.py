@@ -6,11 +6,12 @@ keeps state, and writes through a checkpointed query. Batch outputs are stored p
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trustloom.operators import moderation as P, monitoring as M, quality as Q, ranking as K
+from trustloom.operators.drift import PSI_LIMIT, SMOOTHING
 from trustloom.operators.ordered import group_key, row_numbers
 
 DELAY = "10 minutes"
@@ -81,6 +82,27 @@ def performance_checks(scored: DataFrame, ts: str, group: str, base: dict[str, f
         F.col("window.start").alias("start"), group, "n", *metrics, F.array_compact(F.array(*low)).alias("degraded_metrics"))
 
 
+def drift_checks(events: DataFrame, ts: str, value: str, cuts: Sequence[float], shares: Sequence[float], width: str = "30 minutes",
+                 limit: float = PSI_LIMIT, delay: str = DELAY) -> DataFrame:
+    """Stability index of a value in each closed slot against stored reference shares of the bins between ``cuts``.
+
+    A slot keeps one count per bin, so its state does not grow with the rows. Null values take no part.
+    """
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value)))
+    rows = events.where(F.col(value).isNotNull()).withWatermark(ts, delay)
+    slots = rows.groupBy(F.window(ts, width)).agg(
+        F.count("*").alias("n"), *[F.count_if(at == i).alias(f"_b{i}") for i in range(len(shares))])
+    gaps = [(F.col(f"_b{i}") / F.col("n") + SMOOTHING, F.lit(s + SMOOTHING)) for i, s in enumerate(shares)]
+    index = sum((a - e) * F.log(a / e) for a, e in gaps)
+    return slots.select(F.col("window.start").alias("start"), "n", index.alias("psi"), (index > limit).alias("drift"))
+
+
+def drift_events(checks: DataFrame, min_rows: int) -> DataFrame:
+    """Rows that ask for retraining because the data have moved."""
+    return checks.where((F.col("n") >= min_rows) & F.col("drift")).select(
+        "start", F.lit("data_drift").alias("reason"), F.to_json(F.struct("*")).alias("details"))
+
+
 def retrain_events(checks: DataFrame, min_rows: int) -> DataFrame:
     """Rows that ask for retraining, with reason and details."""
     return checks.where((F.col("n") >= min_rows) & (F.size("degraded_metrics") > 0)).select(
