@@ -27,6 +27,14 @@ def test_models_learn_and_importance_finds_the_signal(rows):
     drop = {r["feature"]: r["importance_mean"] for r in L.permutation_importance(
         models["logistic_regression"], data, "id", ["a", "b", "c"], 2).collect()}
     assert drop["c"] == 0 and max(drop["a"], drop["b"]) > 0.01
+    for name in ("f1_score", "recall", "neg_brier"):
+        drop = {r["feature"]: r["importance_mean"] for r in L.permutation_importance(
+            models["logistic_regression"], data, "id", ["a", "b", "c"], 2, scoring=name).collect()}
+        assert drop["c"] == pytest.approx(0) and max(drop["a"], drop["b"]) > 0
+    args = models["logistic_regression"], data, "id", ["a", "b", "c"], "a", 4
+    curves = L.partial_dependence(*args, individual=True)
+    mean = {r["value"]: r["m"] for r in curves.groupBy("value").agg(F.avg("prediction").alias("m")).collect()}
+    assert curves.count() == 400 and mean == {r["value"]: pytest.approx(r["mean_prediction"]) for r in L.partial_dependence(*args).collect()}
 
 
 def test_smote_balances_between_neighbours(rows):

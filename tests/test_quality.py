@@ -44,7 +44,7 @@ def test_shop_dialects_meet(spark):
 
 def test_csv_round_trip_with_line_breaks(spark):
     df = spark.createDataFrame([("a", 'line "one"\nline, two')], "id STRING, text STRING")
-    assert R.csv(spark, O.csv(df, scratch_path(spark, "csv")), "id STRING, text STRING").collect() == df.collect()
+    assert R.csv(spark, O.csv(df, scratch_path(spark, "csv")), "id STRING, text STRING", multi_line=True).collect() == df.collect()
 
 
 def test_latest_state(spark):

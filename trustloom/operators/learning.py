@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trustloom.functions.numeric import hash_unit, md5_order
 from trustloom.operators.evaluation import class_weights
@@ -143,9 +143,19 @@ def _replaced(features: Sequence[str]):
         F.when(F.col("feature") == f, F.col("value")).otherwise(F.col(f).cast("double")) for f in features]))
 
 
+def scorings() -> dict[str, Column]:
+    """Aggregates over scored rows by name; larger is better."""
+    right, hit = (F.col("prediction") == F.col("label")).cast("double"), (F.col("prediction") == 1) & (F.col("label") == 1)
+    found, said, true = (F.count_if(c) for c in (hit, F.col("prediction") == 1, F.col("label") == 1))
+    zero = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    gap = vector_to_array("probability")[1] - F.col("label")
+    return {"accuracy": F.avg(right), "precision": zero(found, said), "recall": zero(found, true),
+            "f1_score": zero(2 * found, said + true), "neg_brier": -F.avg(gap * gap)}
+
+
 def permutation_importance(model: PipelineModel, rows: DataFrame, key: str, features: Sequence[str], repeats: int = 5,
-                           seed: int = SEED) -> DataFrame:
-    """Drop in accuracy when one feature's values are exchanged among the rows.
+                           seed: int = SEED, scoring: str = "accuracy") -> DataFrame:
+    """Drop in a score (see :func:`scorings`) when one feature's values are exchanged among the rows.
 
     Every (feature, repeat) exchange is one slice of the same job: rows by key order receive values by hash order.
     """
@@ -157,7 +167,7 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, key: str, feat
     own = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in features])
     drawn = donors.select("feature", "rep", F.xxhash64(key, "feature", "rep", F.lit(seed)).alias("_h"), key, own.alias("value"))
     given = row_numbers(drawn, ["feature", "rep"], ["_h", key]).select("feature", "rep", "rn", "value")
-    hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    hit = scorings()[scoring]
     plain = model.transform(base.withColumn("features", array_to_vector(F.array(*features)))).agg(hit).first()[0]
     scored = model.transform(numbered.join(given, "rn").withColumn("features", _replaced(features)))
     per = scored.groupBy("feature", "rep").agg((F.lit(plain) - hit).alias("drop"))
@@ -165,14 +175,17 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, key: str, feat
 
 
 def partial_dependence(model: PipelineModel, rows: DataFrame, key: str, features: Sequence[str], target: str,
-                       points: int = 10) -> DataFrame:
-    """Mean prediction while one feature takes each value of a grid between its 5 % and 95 % quantiles."""
+                       points: int = 10, individual: bool = False) -> DataFrame:
+    """Mean prediction while one feature takes each value of a grid between its 5 % and 95 % quantiles; with
+    ``individual`` the prediction of every row at every value instead."""
     base = rows.select(key, *[F.col(f).cast("double").alias(f) for f in features])
     q = quantiles(base, [], target, [0.05, 0.95]).first()
     low, high = q["q0"], q["q1"]
     grid = [low + (high - low) * i / (points - 1) for i in range(points)]
     spread = base.withColumns({"feature": F.lit(target), "value": F.explode(F.array(*map(F.lit, grid)))})
     scored = predict(model, spread.withColumn("features", _replaced(features)))
+    if individual:
+        return scored.select(key, "feature", "value", F.col("p_fake").alias("prediction"))
     return scored.groupBy("feature", "value").agg(F.avg("p_fake").alias("mean_prediction"),
                                                   F.stddev_pop("p_fake").alias("spread"))
 

@@ -92,7 +92,7 @@ def shop_rows(t, modern):
 @query("ingest_csv", with_views(f"SELECT {SHOP_SELECT} FROM reviews_v", reviews=True))
 def ingest_csv(t):
     path = O.csv(shop_rows(t, False), scratch_path(t.spark, "shop-csv"))
-    rows = R.csv(t.spark, path, "Id STRING, ProductId STRING, UserId STRING, Score DOUBLE, Text STRING, Time BIGINT")
+    rows = R.csv(t.spark, path, "Id STRING, ProductId STRING, UserId STRING, Score DOUBLE, Text STRING, Time BIGINT", multi_line=True)
     return N.shop_reviews(rows).select("review_id", "product_id", "user_id", "rating", "review_text", "timestamp")
 
 
@@ -150,7 +150,7 @@ def concat_chunks(t):
 @query("write_csv", with_views("SELECT review_id, text, stars FROM landed", reviews=True, extra=LANDED_SQL))
 def write_csv(t):
     path = O.csv(landed_reviews(t).select("review_id", "text", "stars"), scratch_path(t.spark, "out-csv"))
-    return R.csv(t.spark, path, "review_id STRING, text STRING, stars DOUBLE")
+    return R.csv(t.spark, path, "review_id STRING, text STRING, stars DOUBLE", multi_line=True)
 
 
 @query("write_json", with_views("SELECT review_id, text, stars FROM landed", reviews=True, extra=LANDED_SQL))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trustloom import schema as S
+from trustloom.session import written
 from trustloom.sources import conform
 
 BAD = "_bad"
@@ -44,7 +45,9 @@ def require_rows(df: DataFrame) -> DataFrame:
     return kept
 
 
-def csv(spark: SparkSession, path, ddl: str, multi_line: bool = True) -> DataFrame:
+def csv(spark: SparkSession, path, ddl: str, multi_line: bool = False) -> DataFrame:
+    """Delimited files with a header. Records over several lines (quoted line ends) must be asked for: such files can't be
+    split, so each is read by one task."""
     return (spark.read.schema(ddl).option("header", True).option("multiLine", multi_line).option("escape", '"')
             .option("quote", '"').csv(path))
 
@@ -93,14 +96,14 @@ def collect_entities(spark: SparkSession, folder: str, out: str, kinds=tuple(ENT
                      entities: Mapping[str, Entity] = ENTITIES) -> DataFrame:
     """Read, conform and store each kind of entity; a kind that cannot be read is reported, not fatal.
 
-    Gives one report row per kind with status, rows and bad lines. Rows are counted from the stored parquet footers, so no
-    source file is read twice.
+    Gives one report row per kind with status, rows and bad lines. A source is read and parsed once, into a staging table
+    from which good rows and bad lines are taken; rows are counted from the stored parquet footers.
     """
     report = []
     for kind in kinds:
         try:
             entity = entities[kind]
-            raw = json_lines(spark, f"{folder}/{kind}", entity.ddl, entity.pattern)
+            raw = written(json_lines(spark, f"{folder}/{kind}", entity.ddl, entity.pattern), f"staged-{kind}")
             entity.transform(good(raw)).write.mode("overwrite").option("compression", "snappy").parquet(f"{out}/{kind}")
             quarantine(raw).write.mode("overwrite").parquet(f"{out}/{kind}_bad")
             report.append((kind, "completed", spark.read.parquet(f"{out}/{kind}").count(),
