@@ -21,7 +21,7 @@ from trustloom.llm.common import dropped, stored
 
 SIZE, END = 1024, 2
 NODES = 2000  # fillings the search may try; the best-fit plan stands where it finds nothing better
-MEMO = 500_000  # kept parts; a memo starts again when it is full
+MEMO = 300_000  # kept parts; a memo starts again when it is full
 
 
 def _units_are_apart(tokenizer: str) -> bool:
