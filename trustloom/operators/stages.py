@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import DataFrame, functions as F
 
 from trustloom.functions import text as X
@@ -45,9 +46,32 @@ class _KeyParams(Params):
     table = Param(Params._dummy(), "table", "path of the stored statistics", TypeConverters.toString)
 
 
-class KeyStatsModel(Model, _KeyParams, DefaultParamsReadable, DefaultParamsWritable):
+class _WithTable(DefaultParamsWriter):
+    """Saves the fitted table next to the parameters, so that a saved model needs no other folder."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        stage = self.instance
+        self.sparkSession.read.parquet(stage.getOrDefault(stage.table)).write.parquet(f"{path}/table")
+
+
+class _FromTable(DefaultParamsReader):
+    def load(self, path: str):
+        stage = super().load(path)
+        stage._set(table=f"{path}/table")
+        return stage
+
+
+class KeyStatsModel(Model, _KeyParams, MLReadable, MLWritable):
     """Joins the stored statistics of each row's key; unseen keys get zeros."""
 
+    def write(self) -> MLWriter:
+        return _WithTable(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _FromTable(cls)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         key, prefix = self.getOrDefault(self.keyCol), self.getOrDefault(self.prefix)
         stats = df.sparkSession.read.parquet(self.getOrDefault(self.table))
