@@ -1,0 +1,95 @@
+import random
+
+import numpy as np
+
+from trustloom.llm import near
+
+DOCS = "doc_id long, text string, lang string, id string, n int, sha string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "x", 1, "y") for i, t in rows], DOCS)
+
+
+def brute_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_kept(rows):
+    """Positions of the rows that stay, from all pairs."""
+    sets, label = [brute_set(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        key = (i is None, i or 0)
+        best[label[k]] = min(best.get(label[k], (key, k)), (key, k))
+    return sorted(k for _, k in best.values())
+
+
+def texts(seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(12):
+        base = rng.choices(words, k=rng.choice([60, 150, 300]))
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randint(1, 8)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            out.append(" ".join(w))
+        out.append(" ".join(base))
+    return out
+
+
+def test_shingles_brute(monkeypatch):
+    text = texts(1)[0]
+    assert len(near.shingles(text.encode())) == len(brute_set(text))
+    whole = near.shingles(text.encode())
+    monkeypatch.setattr(near, "word_blocks", lambda d: (d.split()[i:i + 3] for i in range(0, len(d.split()), 3)))
+    assert (near.shingles(text.encode()) == whole).all()
+    assert len(near.shingles(b"One two")) == 1 and not len(near.shingles(None))
+
+
+def test_groups_of_all_pairs(spark):
+    rows = [(10 * k + 7, t) for k, t in enumerate(texts(2))]
+    got = near.without_near_copies(frame(spark, rows))
+    assert got.columns == frame(spark, []).columns
+    want = brute_kept(rows)
+    assert 12 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in got.collect()) == [rows[k][0] for k in want]
+
+
+def test_ids_null_and_shared(spark):
+    base = " ".join(f"v{i}" for i in range(100))
+    rows = [(None, base + " end"), (None, base + " fin"), (5, "q " * 20 + base), (5, "other " + " ".join(f"z{i}" for i in range(50))),
+            (4, "q " * 20 + base + " r")]
+    got = near.without_near_copies(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text[:5]) for r in got) == [(4, "q q q"), (5, "other")]
+    empty = near.without_near_copies(frame(spark, [(2, None), (1, ""), (3, "a b")])).collect()
+    assert sorted(r.doc_id for r in empty) == [1, 3]
+    assert near.without_near_copies(frame(spark, [])).count() == 0
+
+
+def test_recall_on_documents(spark):
+    """A copy with a few words changed is some bits away in SimHash, and goes in the stage."""
+    import corpus_pipeline
+    from trustloom.llm import simhash
+
+    rng = random.Random(3)
+    base = rng.choices([f"u{i}" for i in range(900)], k=300)
+    rows = [(1, " ".join(base))]
+    for k in range(20):
+        w = list(base)
+        for i in rng.sample(range(300), 5):
+            w[i] = f"new{k}_{i}"
+        rows.append((2 + k, " ".join(w)))
+    fps = np.array([simhash.fingerprint(t.encode(), 3) for _, t in rows], np.uint64)
+    assert (np.bitwise_count(fps[1:] ^ fps[0]) > 2).any()
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert [r.doc_id for r in got.collect()] == [1]
