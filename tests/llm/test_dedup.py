@@ -143,8 +143,11 @@ def test_near_groups(spark):
     assert sorted((str(r.id), r.fp % (1 << 64), str(r.component_id)) for r in got) == want
     kept = simhash.without_near_copies(frame(spark, rows))
     assert kept.columns == frame(spark, []).columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
-        str(i) for i, t in rows if i is None or low[label[brute_fp(t)]] == i)
+    stays = {}
+    for i, t in rows:  # one document of each group: an id before null, then the smaller hash
+        key, doc = label[brute_fp(t)], (i is None, i, hashlib.sha256((t or "").encode()).digest())
+        stays[key] = min(doc, stays.get(key, doc), key=lambda d: (d[0], d[1] or 0, d[2]))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[1]) for d in stays.values())
     assert simhash.near_groups(frame(spark, [])).count() == 0
 
 
@@ -152,3 +155,12 @@ def test_digest_is_sha256(spark):
     from pyspark.sql import functions as F
     got = exact.copy_groups(frame(spark, ROWS), carry={"d": F.sha2(F.coalesce("text", F.lit("")), 256)}).collect()
     assert {r.d for r in got} == {hashlib.sha256((t or "").encode()).hexdigest() for _, t in ROWS}
+
+
+def test_near_decisions_with_clashing_columns(spark):
+    """Null ids, one id with several texts, repeated rows (one document); texts without words are linked like any other."""
+    rows = [(1, "a b c d"), (None, "a b c d"), (2, "something else entirely here"), (2, "a b c d"), (None, "  "), (4, ""),
+            (3, "more words that stand alone now"), (3, "more words that stand alone now")]
+    docs = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _away int, _sha string")
+    got = simhash.without_near_copies(docs)
+    assert got.columns == docs.columns and sorted(r._away for r in got.collect()) == [0, 2, 5, 6, 7]

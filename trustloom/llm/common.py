@@ -14,6 +14,7 @@ WORDS = r"[\x20\x09-\x0D]+"
 
 # Rows of a table that may be broadcast after its rows were counted; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -49,6 +50,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def small_bytes(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """A broadcast hint if ``rows`` counted rows of at most ``row_bytes`` each are within ``BROADCAST_BYTES``."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name, made from ``name``, that no column of ``df`` starts with."""
+    name = f"_{name}"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

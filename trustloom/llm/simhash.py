@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trustloom.llm.common import dropped, stored, word_blocks
+from trustloom.llm.common import dropped, stored, unused, word_blocks
 from trustloom.llm.components import components
 from trustloom.llm.hamming import links
 
@@ -66,10 +66,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their group: those with the group's smallest id.
+    """The rows of ``docs``, all columns, that stand for their group in :func:`near_groups`: one document of each group.
 
-    Rows without an id can't be told apart and stay; rows that share an id are one document.
+    The document with the smallest id stays (an id is smaller than null; equal ids: the smaller SHA-256 of the text). Rows
+    find their decision by id and content hash, so null ids and different texts with one id are told apart; rows that repeat
+    both are one document. Null text counts as empty. An empty table gives no rows; other columns may have any names.
     """
-    groups = near_groups(docs, id_col, text_col, shingle=shingle)
-    away = stored(groups.where("id <> component_id").select(F.col("id").alias("_away")).distinct(), "away")
-    return docs.join(away, F.col(id_col) == F.col("_away"), "left_anti")
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    none, row_id = unused(docs, "away"), F.col(id_col)
+    keyed = docs.select(F.struct(row_id.isNull().alias("none"), row_id.alias("id"), sha.alias("sha")).alias("id"),
+                        F.col(text_col).alias("text"))
+    groups = near_groups(keyed, "id", "text", shingle=shingle)
+    away = stored(groups.where("id <> component_id").select("id").distinct(), "away")
+    if not away.limit(1).count():
+        return docs
+    away = away.select(F.col("id.id").alias(f"{none}_id"), F.col("id.sha").alias(f"{none}_sha"))
+    marked = docs.withColumn(none, sha)
+    same = marked[id_col].eqNullSafe(away[f"{none}_id"]) & (marked[none] == away[f"{none}_sha"])
+    return marked.join(away, same, "left_anti").drop(none)
