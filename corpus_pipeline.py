@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustloom.llm import exact, kneser, near, quality
+from trustloom.llm import exact, kneser, quality, simhash
 from trustloom.llm.common import stored
 from trustloom.llm.queries import packed
 from trustloom.session import prepare
@@ -31,8 +31,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id."""
-    return near.without_near_copies(docs)
+    """One document of each group that fingerprints within two bits link: the one with the smallest id."""
+    return simhash.without_near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
