@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustloom.llm import chat, exact, html, kneser, packing, pieces, pitman_yor, quality, simhash, tokens
+from trustloom.llm import chat, exact, html, kneser, merkle, packing, pieces, pitman_yor, quality, simhash, tokens
+from trustloom.llm.merkle_sql import manifest_sql
 from trustloom.llm.quality_sql import quality_sql
 from trustloom.session import prepare
 
@@ -78,6 +79,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.classify(_table(spark, sf_dir, "documents"), trusted).withColumnRenamed("id", "doc_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.leaf_hash([F.col("n_chars") + 1 if c == "n_chars" else c for c in columns])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, changed)
+    rows = merkle.manifest(_table(spark, sf_dir, "documents"), columns, carry={"tampered": tampered})
+    siblings = F.transform(F.filter("path", lambda s: s["side"] != merkle.ALONE), lambda s: s["digest"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join(siblings, ""), 256).alias(
+        "proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -89,10 +101,12 @@ QUERIES = {
     "op8_preferences": op8_preferences,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 SQL = {
     "op7_quality_rules": quality_sql(),
+    "op11_merkle_manifest": manifest_sql(),
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
