@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustloom.llm import chat, exact, html, kneser, merkle, packing, pieces, pitman_yor, quality, simhash, tokens
+from trustloom.llm import chat, divergence, exact, html, kneser, merkle, packing, pieces, pitman_yor, quality, simhash, tokens
+from trustloom.llm.divergence_sql import divergence_sql
 from trustloom.llm.merkle_sql import manifest_sql
 from trustloom.llm.quality_sql import quality_sql
 from trustloom.session import prepare
@@ -90,6 +91,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -102,11 +107,13 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 SQL = {
     "op7_quality_rules": quality_sql(),
     "op11_merkle_manifest": manifest_sql(),
+    "op12_source_divergence": divergence_sql(),
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
