@@ -30,7 +30,7 @@ def tables(spark, small):
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "exact_dedup", "near_dedup", "packing"]
     names = entrypoint.queries()
-    for k in range(1, 11):
+    for k in range(1, 14):
         assert len([n for n in names if n.startswith(f"op{k}_")]) == 1
     assert "pipeline" in names and set(entrypoint.oracle_sql()) <= set(names)
     assert importlib.util.find_spec("trustloom.llm")

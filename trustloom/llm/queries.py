@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustloom.llm import chat, divergence, exact, html, kneser, merkle, packing, pieces, pitman_yor, quality, simhash, tokens
+from trustloom.llm import chat, divergence, exact, html, kneser, merkle, packing, pieces, pitman_yor, quality, simhash, tokens, topk
 from trustloom.llm.divergence_sql import divergence_sql
 from trustloom.llm.merkle_sql import manifest_sql
 from trustloom.llm.quality_sql import quality_sql
@@ -95,6 +95,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -108,12 +112,25 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_source_divergence": op12_source_divergence,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
 SQL = {
     "op7_quality_rules": quality_sql(),
     "op11_merkle_manifest": manifest_sql(),
     "op12_source_divergence": divergence_sql(),
+    # double sums of whole numbers this small are exact
+    "op13_exact_top_k": """
+WITH vectors AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))
+), scores AS (
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.n <> c.n WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores) WHERE rank <= 20
+""",
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
