@@ -50,7 +50,7 @@ def _lengths(x: np.ndarray) -> np.ndarray:
     """Length of the rest of each row (dimension first) from each block on, rounded up a little, so that bounds stay bounds."""
     squares = np.square(x.astype(np.float64))
     tails = [np.sqrt(squares[d:].sum(axis=0)) for d in range(0, len(x), DIMENSIONS)]
-    return np.stack([*tails or [np.zeros(x.shape[1])], np.zeros(x.shape[1])]) * (1 + 1e-12)
+    return np.stack([*(tails or [np.zeros(x.shape[1])]), np.zeros(x.shape[1])]) * (1 + 1e-12)
 
 
 def _exactly(q: np.ndarray, x: np.ndarray) -> type:
