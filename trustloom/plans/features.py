@@ -52,16 +52,19 @@ vocab AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf
 
 @query("vocab_topk", with_views("SELECT term, df, total FROM vocab", reviews=True, extra=f"{grams_sql(3)}, {VOCAB_SQL}"))
 def vocab_topk(t):
-    return V.vocabulary(V.term_counts(grams(t, 3), "review_id", "terms"), t.reviews().count())
+    docs = grams(t, 3)
+    return V.frequent_terms(docs, "terms", docs.count())
 
 
 @query("tfidf", with_views(f"SELECT review_id, term, {r6('x / norm')} AS weight FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY "
                            "review_id)) AS norm FROM raw)", reviews=True, extra=f"""{grams_sql(1)}, {VOCAB_SQL},
 raw AS (SELECT review_id, term, tf * (ln((1.0 + (SELECT n FROM n)) / (1 + df)) + 1) AS x FROM tf JOIN vocab USING (term))"""))
 def tfidf(t):
-    n = t.reviews().count()
-    counts = V.term_counts(grams(t, 1), "review_id", "terms")
-    return rounded(V.tfidf(counts, V.vocabulary(counts, n), n, "review_id"), ("weight",))
+    docs = grams(t, 1)
+    n = docs.count()
+    vocab = V.frequent_terms(docs, "terms", n)
+    counts = V.kept_counts(docs, "review_id", "terms", vocab.select("term"))
+    return rounded(V.tfidf(counts, vocab, n, "review_id"), ("weight",))
 
 
 def stat_join_sql(key, prefix):
