@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def documents(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_divergence_is_exact(spark, monkeypatch, seed):
-    monkeypatch.setattr(divergence, "FLUSH", 8 if seed == 2 else 1 << 20)
+    monkeypatch.setattr(divergence, "CELLS", 8 if seed == 2 else 1 << 18)
     rows = documents(seed)
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"at": F.lit(1), "term": F.lit("t"), "n": F.lit(2)})
     got = divergence.divergence(df.repartition(3), min_docs=5, top=4)
@@ -55,6 +56,26 @@ def test_divergence_is_exact(spark, monkeypatch, seed):
     assert sorted(map(tuple, got.collect())) == brute(rows, 5, 4)
 
 
+def test_nodes_are_shared():
+    """Rows with a common beginning share nodes: sums are those of all rows, from fewer combinations."""
+    rng = np.random.default_rng(1)
+    rows = sorted(tuple((a, int(rng.integers(1, 3))) for a in range(5) if rng.random() < 0.7) for _ in range(200))
+    rows = [r for r in rows if r]
+    at, p = (np.array([[e[i] for e in r] + [-1] * (5 - len(r)) for r in rows]) for i in (0, 1))
+    m = rng.integers(1, 9, len(rows))
+    p, p0 = np.where(at >= 0, p * 1000, -1), np.where(at >= 0, 7 + at, -1)
+    f = lambda x, y: (x - y) * (x - y) // (x + y)
+    want = {}
+    for r in range(len(rows)):
+        for k in range(len(rows[r])):
+            for b in range(k):
+                x, y, x0, y0 = (int(v) for v in (p[r, k], p[r, b], p0[r, k], p0[r, b]))
+                key = (int(at[r, k]), int(at[r, b]))
+                want[key] = want.get(key, 0) + int(m[r]) * (f(x, y) - f(x, y0) - f(x0, y) + f(x0, y0))
+    keys, values = divergence._nodes(at, p, p0, m)
+    assert {(k >> 32, k & 0xFFFFFFFF): v for k, v in zip(keys.tolist(), values.tolist())} == want
+
+
 def test_long_texts_and_blocks(spark):
     """Texts longer than a block are read in pieces; a block of several texts counts each text once for a term."""
     rows = documents(3) + [("en", "long", "alpha Beta " * 400)]

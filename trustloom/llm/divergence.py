@@ -9,8 +9,8 @@ for every such term, so sums start from "no term occurs" and are corrected:
   sources, go into a frequent-pattern tree: rows with a common beginning share its nodes and add up their number there. Every
   (node, ancestor) combination then gives its correction once, times the node's number, however many terms pass through.
 
-Rows are sorted by their path over all tasks, so a task builds its part of the tree in one pass that keeps only the current
-path; a node that spans two tasks is met in both with a part of its number, which adds up to the same sums.
+Rows are sorted by their path over all tasks, so a task builds its part of the tree from consecutive rows, level by level; a
+node that spans two parts is met in both with a part of its number, which adds up to the same sums.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from trustloom.llm.common import dropped, small_bytes, stored, width
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 10, 10
 BLOCK = 4 << 20  # bytes of text whose tokens are numbered at once
-FLUSH = 1 << 20  # pair sums that a task holds before it hands them on
+CELLS = 1 << 18  # entries of the paths that a task puts into one part of the tree
 # Bytes of a term: A-Z (lower-cased), a-z and everything outside ASCII; the rest separates.
 _TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -112,51 +112,66 @@ def _apart(p, q):
     return (p - q) * (p - q) // (p + q)
 
 
+def _padded(flat: np.ndarray, lengths: np.ndarray, fill: int) -> np.ndarray:
+    out = np.full((len(lengths), int(lengths.max(initial=0))), fill, np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    return out
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    names, first = np.unique(keys[order], return_index=True)
+    return names, np.add.reduceat(values[order], first) if len(names) else values
+
+
+def _nodes(at: np.ndarray, p: np.ndarray, p0: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pair sums by ``a * 2^32 + b`` from sorted paths (padded with -1), level by level of their tree.
+
+    A row opens a node at a level if its path up to there differs from that of the row before; the node's number is the sum over
+    the rows until the next one opens. Each node then meets all its ancestors once.
+    """
+    lengths = (at >= 0).sum(1)
+    same = (at[1:] == at[:-1]) & (p[1:] == p[:-1]) & (at[1:] >= 0)
+    common = np.concatenate([[0], np.logical_and.accumulate(same, axis=1).sum(1)]) if len(at) else np.zeros(0, np.int64)
+    keys, values = [], []
+    for d in range(1, at.shape[1]):
+        rows = np.flatnonzero(lengths > d)
+        opens = np.flatnonzero(common[rows] <= d)
+        if not len(opens):
+            continue
+        number, node = np.add.reduceat(m[rows], opens), rows[opens]
+        x, x0, y, y0 = p[node, d][:, None], p0[node, d][:, None], p[node, :d], p0[node, :d]
+        got = number[:, None] * (_apart(x, y) - _apart(x, y0) - _apart(x0, y) + _apart(x0, y0))
+        k, v = _summed(((at[node, d][:, None] << 32) + at[node, :d]).ravel(), got.ravel())
+        keys.append(k)
+        values.append(v)
+    return _summed(np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros(0, np.int64)]))
+
+
 def _tree(batches: Iterator[pa.RecordBatch]):
     """Corrections ``lang, a, b, v`` of pairs of sources (numbers, a after b) from sorted paths ``lang, at, p, p0, m``.
 
     ``at``: source numbers of the row in order; ``p``: their shares; ``p0``: the shares of an absent term; ``m``: terms with
-    this row. A node is closed, and its combinations counted, when the next row leaves it.
+    this row. A part of the tree is made of rows with at most ``CELLS`` entries, whatever the batch; a node that is in two
+    parts has a part of its number in each.
     """
-    start = (np.zeros(0, np.int64),) * 3
-    sums: dict[int, np.ndarray] = {}  # by a: the sums of all b < a
-    lang, path, number = None, start, []
-
-    def close(depth: int):
-        at, p, p0 = path
-        while len(number) > depth:
-            m, k = number.pop(), len(number)
-            if k:
-                number[-1] += m
-                a, x, y, x0, y0 = int(at[k]), p[k], p[:k], p0[k], p0[:k]
-                if a not in sums:
-                    sums[a] = np.zeros(a, np.int64)
-                sums[a][at[:k]] += m * (_apart(x, y) - _apart(x, y0) - _apart(x0, y) + _apart(x0, y0))
-
-    def flush():
-        pairs = [(a, b) for a, row in sums.items() for b in np.flatnonzero(row).tolist()]
-        values = np.concatenate([row[row != 0] for row in sums.values()]) if sums else np.zeros(0, np.int64)
-        sums.clear()
-        a, b = np.array(pairs, np.int32).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(values)],
-                                          ["lang", "a", "b", "v"])
-
     for batch in batches:
-        columns = [batch.column(i) for i in range(1, 4)]
-        for i, (l, m) in enumerate(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist())):
-            row = tuple(c[i].values.to_numpy(zero_copy_only=False) for c in columns)
-            if l != lang or len(sums) * (int(row[0][-1]) + 1) > FLUSH:
-                close(0)
-                yield flush()
-                lang, path = l, start
-            k = min(len(path[0]), len(row[0]))
-            differs = np.flatnonzero((path[0][:k] != row[0][:k]) | (path[1][:k] != row[1][:k]))
-            close(int(differs[0]) if len(differs) else k)
-            path = row
-            number.extend([0] * (len(row[0]) - len(number)))
-            number[-1] += m
-    close(0)
-    yield flush()
+        lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        lang = np.array(batch.column(0).to_pylist(), object)
+        cuts = set((np.flatnonzero(lang[1:] != lang[:-1]) + 1).tolist())
+        start = 0
+        while start < len(lang):
+            most, end = 0, start
+            while end < len(lang) and (end == start or end not in cuts) and (end == start or (
+                    end - start + 1) * max(most, lengths[end]) <= CELLS):
+                most, end = max(most, int(lengths[end])), end + 1
+            part = batch.slice(start, end - start)
+            at, p, p0 = (_padded(part.column(c).flatten().to_numpy(zero_copy_only=False), lengths[start:end], -1) for c in (1, 2, 3))
+            keys, values = _nodes(at, p, p0, part.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang[start]] * len(keys), pa.string()), pa.array((keys >> 32).astype(np.int32)),
+                pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(values)], ["lang", "a", "b", "v"])
+            start = end
 
 
 def _alone(batches: Iterator[pa.RecordBatch]):
