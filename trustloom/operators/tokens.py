@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trustloom.functions import text as X
+from trustloom.functions.stem import with_stems
 
 COMPOUND_NORM = 15.0
 
@@ -28,6 +29,12 @@ def apply_base_forms(df: DataFrame, key: str, text: str, base_forms: DataFrame)
     return df.select(key).join(rebuilt, key, "left").select(key, F.coalesce("base_text", F.lit("")).alias("base_text"))
 
 
+def stemmed_text(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the text of white-space separated tokens with every token replaced by its stem; null and empty texts give ''."""
+    stems = with_stems(df.withColumn("_tokens", X.words(F.coalesce(F.col(text), F.lit("")))), "_tokens", "_stems")
+    return stems.withColumn(out, F.array_join("_stems", " ")).drop("_tokens", "_stems")
+
+
 def unknown_words(df: DataFrame, key: str, tokens, word_list: DataFrame) -> DataFrame:
     """Tokens per text that are missing from the ``(token)`` word list."""
     miss = (

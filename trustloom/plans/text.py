@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustloom.functions import text as X
+from trustloom.functions.stem import IRREGULAR, STEPS
 from trustloom.operators import tokens as K
 from trustloom.plans.registry import query
 from trustloom.plans.views import r6, round6, with_views
@@ -123,6 +124,30 @@ def normalise_tokens(t):
     return K.apply_base_forms(cleaned, "review_id", "cleaned_text", bases)
 
 
+def stems_sql():
+    """Stems of the table ``words`` (w), one step after the other, as ``stems`` (w, stem)."""
+    kinds = ("list_reduce(list_concat([''], string_split(s, '')), lambda k, ch: k || CASE WHEN ch IN ('a', 'e', 'i', 'o', 'u') OR "
+             "(ch = 'y' AND right(k, 1) = 'C') THEN 'V' ELSE 'C' END)")
+    ctes = ["st0 AS (SELECT w, w AS s FROM words)"]
+    for i, step in enumerate(STEPS, 1):
+        ctes.append(f"st{i} AS (SELECT w, {step.format(w='s', cv='cv')} AS s FROM (SELECT w, s, {kinds} AS cv FROM st{i - 1}))")
+    known = " ".join(f"WHEN w = '{w}' THEN '{s}'" for w, s in IRREGULAR.items())
+    ctes.append(f"stems AS (SELECT w, CASE WHEN length(w) <= 2 THEN w {known} ELSE s END AS stem FROM st{len(STEPS)})")
+    return ",\n".join(ctes)
+
+
+@query("stem_tokens", with_views("""
+SELECT c.review_id, coalesce(string_agg(s.stem, ' ' ORDER BY k.pos), '') AS stemmed_text
+FROM cleaned c LEFT JOIN toks k USING (review_id) LEFT JOIN stems s ON s.w = k.token GROUP BY c.review_id
+""", reviews=True, extra=CLEANED_CTE + f""",
+lists AS (SELECT review_id, {words_sql('cleaned_text')} AS l FROM cleaned),
+toks AS (SELECT review_id, unnest(l) AS token, unnest(range(1, len(l) + 1)) AS pos FROM lists),
+words AS (SELECT DISTINCT token AS w FROM toks), {stems_sql()}"""))
+def stem_tokens(t):
+    cleaned = t.reviews().select("review_id", X.clean(TEXT).alias("cleaned_text"))
+    return K.stemmed_text(cleaned, "cleaned_text", "stemmed_text").select("review_id", "stemmed_text")
+
+
 @query("text_length", rows("CAST(length(review_text) AS BIGINT)", "text_length"))
 def text_length(t):
     return t.reviews().select("review_id", X.text_length(TEXT).cast("bigint").alias("text_length"))
