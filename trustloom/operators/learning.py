@@ -10,16 +10,17 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler, Word2Vec
+from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trustloom.functions.numeric import hash_unit, md5_order
+from trustloom.operators import cooccurrence
 from trustloom.operators.evaluation import class_weights
 from trustloom.operators.ordered import quantiles, row_numbers
 from trustloom.operators.similarity import nearest
-from trustloom.session import shard_count, written
+from trustloom.session import written
 
 SEED = 42
 ENSEMBLE = {"random_forest": 0.25, "boosted_trees": 0.35, "neural_network": 0.25, "linear_svc": 0.15}
@@ -234,14 +235,11 @@ def select_features(rows: DataFrame, features: Sequence[str], method: str, k: in
 
 
 def word_vectors(df: DataFrame, key: str, tokens: str, size: int = 100, window: int = 5, min_count: int = 2,
-                 seed: int = SEED, rounds: int = 5) -> DataFrame:
-    """Mean word vector of each text, learned in as many partitions as the session shuffles into.
+                 seed: int = SEED, rounds: int = 4) -> DataFrame:
+    """Mean word vector of each text; the words' vectors are learned and kept in tables (:mod:`trustloom.operators.cooccurrence`)."""
+    table = cooccurrence.vectors(df, tokens, size, window, min_count, seed, rounds)
+    return cooccurrence.text_vectors(df, key, tokens, table, size)
 
-    The word vectors (vocabulary x size) are held by the driver between rounds: MLlib's own limit.
-    """
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=rounds,
-                     numPartitions=shard_count(df.sparkSession), inputCol=tokens, outputCol="_v")
-    return model.fit(df).transform(df).select(key, vector_to_array("_v").alias("embedding"))
 
 
 def smote(df: DataFrame, key: str, label: str, vector: str, minority, k: int = 5, seed: int = SEED) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustloom.functions import text as X
-from trustloom.operators import behaviour as B, features as FE, similarity as S, vectors as V
+from trustloom.operators import behaviour as B, cooccurrence as O, features as FE, similarity as S, vectors as V
 from trustloom.plans.aggregates import rounded
 from trustloom.plans.joins import stats_sql
 from trustloom.plans.registry import query
@@ -13,6 +13,7 @@ from trustloom.plans.text import CLEANED_CTE, REPEATED_WORDS_CTE, STOP_SQL, avg_
     ratio_sql, repeated_chars_sql
 from trustloom.plans.views import r6, round6, with_views
 from trustloom.plans.windows import ANOMALY_SQL, GAPS_SQL
+from trustloom.session import written
 
 C = F.col
 
@@ -67,6 +68,20 @@ def tfidf(t):
     return rounded(V.tfidf(counts, vocab, n, "review_id"), ("weight",))
 
 
+@query("word_information", with_views(f"""
+SELECT a AS word, count(*) AS neighbours, {r6('max(ln(n * total / (na * nb)))')} AS strongest
+FROM pairs JOIN (SELECT a, sum(n) AS na FROM pairs GROUP BY 1) USING (a) JOIN (SELECT a AS b, sum(n) AS nb FROM pairs GROUP BY 1) USING (b),
+ (SELECT CAST(sum(n) AS DOUBLE) AS total FROM pairs) WHERE ln(n * total / (na * nb)) > 0 GROUP BY 1""", reviews=True, extra=f"""
+docs AS (SELECT {TERMS_SQL} AS w FROM reviews_v),
+near AS ({" UNION ALL ".join(f"SELECT unnest(w[:greatest(len(w) - {d}, 0)]) AS x, unnest(w[{d + 1}:]) AS y, {3 - d} AS n FROM docs" for d in (1, 2))}),
+pairs AS (SELECT a, b, sum(n) AS n FROM (SELECT x AS a, y AS b, n FROM near UNION ALL SELECT y, x, n FROM near) GROUP BY 1, 2)""".strip()))
+def word_information(t):
+    docs = t.reviews().select(X.terms(C("review_text")).alias("w"))
+    values = O.information(written(O.pair_counts(docs, "w", 2), "word-pairs"))
+    out = values.groupBy(C("a").alias("word")).agg(F.count("*").alias("neighbours"), F.max("value").alias("strongest"))
+    return rounded(out, ("strongest",))
+
+
 def stat_join_sql(key, prefix):
     names = {"rating_count": "rating_count", "rating_mean": r6("{}.rating_mean"), "rating_std": r6("{}.rating_std"),
              "length_mean": r6("{}.length_mean"), "length_std": r6("{}.length_std")}
