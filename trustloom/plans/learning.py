@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from trustloom.functions import text as X
-from trustloom.operators import drift as D, evaluation as E, learning as L, mmd, ranking as K
+from trustloom.operators import drift as D, evaluation as E, forests, learning as L, mmd, ranking as K
 from trustloom.plans.aggregates import rounded
 from trustloom.plans.registry import query
 from trustloom.plans.views import r6, with_views
@@ -147,14 +147,37 @@ def partial_dependence(t):
     return L.partial_dependence(L.fit("random_forest", train), test, "review_id", FEATURES, "text_length")
 
 
+# what the test part holds: a fifth of each class
+TEST_SQL = "SELECT review_id FROM ranked WHERE rn > floor(n * 0.8)"
+
+
+@query("forest_contributions", with_views(f"""
+SELECT review_id, CAST({len(FEATURES)} AS BIGINT) AS features, true AS adds_up FROM ({TEST_SQL})""", reviews=True, extra=RANKED_SQL))
+def forest_contributions(t):
+    """Contributions of every test row, held against the forest's own probability."""
+    train, test = parts(t)
+    model = L.fit("random_forest", train)
+    table, base = forests.path_contributions(model, test, "review_id", FEATURES)
+    sums = table.groupBy("review_id").agg(F.count("*").alias("features"), F.sum("contribution").alias("s"))
+    return sums.join(L.predict(model, test).select("review_id", "p_fake"), "review_id").select(
+        "review_id", "features", (F.abs(C("s") + F.lit(base) - C("p_fake")) < 1e-9).alias("adds_up"))
+
+
 @query("interpretation_report")
 def interpretation_report(t):
+    """One table of feature and importance per method that ran: the forest's own, permutations, paths and a linear model."""
     train, test = parts(t)
     model = L.fit("random_forest", train)
+    linear = L.fit("logistic_regression", train).stages[-1].coefficients.toArray()
     trees = K.top_by(L.feature_importance(t.spark, model, FEATURES), "importance", "feature", 10)
     perm = L.permutation_importance(model, test, "review_id", FEATURES)
+    paths, _ = forests.path_contributions(model, test, "review_id", FEATURES)
+    linear = L.linear_contributions(test, "review_id", dict(zip(FEATURES, map(float, linear))))
+    mean = lambda table, method: table.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance")).withColumn(
+        "method", F.lit(method))
     return trees.withColumn("method", F.lit("importance")).unionByName(
-        perm.select("feature", C("importance_mean").alias("importance"), F.lit("permutation").alias("method")))
+        perm.select("feature", C("importance_mean").alias("importance"), F.lit("permutation").alias("method"))).unionByName(
+        mean(paths, "path")).unionByName(mean(linear, "linear"))
 
 
 WEIGHTS = {"value": 0.5, "minute": -0.25, "hour": 1.5}
