@@ -113,3 +113,18 @@ def test_tables(spark, library, vocab):
             assert r.round_trip == ("▁" not in t)
     none = df.where("false")
     assert tokens.token_counts(none, vocab).count() == pieces.encode_digest(none, vocab).count() == 0
+
+
+def test_memo_keeps_what_is_frequent(monkeypatch):
+    """Rare keys push each other out; a key that comes again and again is computed once."""
+    monkeypatch.setattr(pieces, "MEMO", 20)
+    asked = []
+
+    class Whole:
+        def cut(self, unit):
+            return [unit]
+
+    units = pieces.Units(Whole(), lambda part: asked.append(part) or len(part), sum, "")
+    for i in range(200):
+        assert units["often"] == 5 and units[f"rare{i}"] == len(f"rare{i}")
+    assert asked.count("often") == 1 and len(asked) == 201 and len(units) + len(units.old) <= 20

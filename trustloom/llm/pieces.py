@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"  # stands for a space inside pieces
-MEMO = 300_000  # kept units; the memo starts again when it is full
+MEMO = 300_000  # kept units
 
 
 @dataclass(frozen=True)
@@ -215,28 +215,44 @@ def automaton(v: Vocabulary) -> Automaton:
     return _AUTOMATA[v.key]
 
 
-class Units(dict):
+class Memo(dict):
+    """Values in two generations of at most ``MEMO / 2`` each: when the younger one is full it becomes the older, and what is asked
+    for again moves back to the younger. So frequent keys stay, and rare ones make room."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def put(self, key, value):
+        if len(self) >= MEMO // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Units(Memo):
     """Result per unit, computed at first use: that of its parts (see :meth:`Automaton.cut`) by ``fn``, put together by
     ``join``. A unit is a run of spaces and what follows up to the next space or line end: no piece crosses its borders, so
     units are encoded apart. ``lead`` stands before every key."""
 
-    def __init__(self, auto: Automaton, fn, join, lead: str, parts: dict | None = None):
+    def __init__(self, auto: Automaton, fn, join, lead: str, parts: Memo | None = None):
         super().__init__()
-        self.auto, self.fn, self.join, self.lead, self.parts = auto, fn, join, lead, {} if parts is None else parts
+        self.auto, self.fn, self.join, self.lead, self.parts = auto, fn, join, lead, Memo() if parts is None else parts
+
+    def _part(self, part: str):
+        got = self.parts.get(part)
+        if got is None:
+            got = self.parts.old.get(part)
+            got = self.parts.put(part, self.fn(part) if got is None else got)
+        return got
 
     def __missing__(self, unit: str):
-        found = []
-        for part in self.auto.cut(self.lead + unit.replace(" ", MARK)):
-            got = self.parts.get(part)
-            if got is None:
-                if len(self.parts) >= MEMO:
-                    self.parts.clear()
-                got = self.parts[part] = self.fn(part)
-            found.append(got)
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[unit] = self.join(found) if len(found) != 1 else found[0]
-        return out
+        out = self.old.get(unit)
+        if out is None:
+            found = [self._part(part) for part in self.auto.cut(self.lead + unit.replace(" ", MARK))]
+            out = self.join(found) if len(found) != 1 else found[0]
+        return self.put(unit, out)
 
 
 def unit_results(text: str, bare: Units, spaced: Units, newline) -> list:
@@ -331,17 +347,13 @@ def decode_table(rows: DataFrame, v: Vocabulary) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, decoded string")
 
 
-def encode_digest(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """Per document: number of ids, of byte ids, CRC-32 of the ids, and whether decoding gives the text back.
+_DIGESTS: dict[str, tuple[Units, Units]] = {}
 
-    A text that holds the mark itself comes back with a space in its place, as with the model's own library; for it
-    ``round_trip`` is false.
-    """
-    _no_line_end(v)
 
-    def run(batches):
-        a = automaton(v)
-        byte = set(v.bytes_at)
+def _digest_units(v: Vocabulary) -> tuple[Units, Units]:
+    """Ids, number of byte ids and text of units, without and with a space before them; kept per worker process."""
+    if v.key not in _DIGESTS:
+        a, byte = automaton(v), set(v.bytes_at)
         text = {i: v.pieces[i].replace(MARK, " ").encode() for i in v.plain} | {i: bytes([b]) for b, i in enumerate(v.bytes_at)}
 
         def unit(marked):
@@ -353,7 +365,20 @@ def encode_digest(docs: DataFrame, v: Vocabulary) -> DataFrame:
             return b"".join(ids), sum(byts), b"".join(texts)
 
         bare = Units(a, unit, join, "")
-        spaced = Units(a, unit, join, MARK, bare.parts)
+        _DIGESTS[v.key] = bare, Units(a, unit, join, MARK, bare.parts)
+    return _DIGESTS[v.key]
+
+
+def encode_digest(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """Per document: number of ids, of byte ids, CRC-32 of the ids, and whether decoding gives the text back.
+
+    A text that holds the mark itself comes back with a space in its place, as with the model's own library; for it
+    ``round_trip`` is false.
+    """
+    _no_line_end(v)
+
+    def run(batches):
+        bare, spaced = _digest_units(v)
         newline = (np.array([v.bytes_at[10]], "<u4").tobytes(), 1, b"\n")
         for batch in batches:
             rows = []
