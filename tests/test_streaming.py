@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from trustloom.operators import monitoring as M
@@ -60,3 +62,32 @@ def test_late_row_joins_the_newest_window(spark):
         J.rolling_performance(J.source(spark, path, ddl, "parquet"), "platform", "ts", "prediction_id", results, tail, check, 100)
     got = {r["prediction_id"]: (r["window_count"], r["accuracy"]) for r in spark.read.parquet(results).collect()}
     assert len(got) == 202 and got[500] == (100, 0.99) and got[501][0] == 1
+
+
+def test_vector_drift_of_a_slot_is_the_batch_statistic(spark, tmp_path):
+    """Slots like the reference, a moved slot, null vectors; the distance does not depend on how rows arrive."""
+    import numpy as np
+
+    from trustloom.operators import mmd
+
+    rng = np.random.default_rng(3)
+    ref_rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 3)))], "id long, v array<double>")
+    ref = mmd.reference(ref_rows, "id", "v")
+    assert ref.n == 400 and ref.limit > 0
+    x = {0: rng.normal(size=(150, 3)), 1: rng.normal(size=(150, 3)) + [1.5, 0, 0]}
+    start = dt.datetime(2024, 1, 1)
+    rows = [(start + dt.timedelta(minutes=30 * s, seconds=i), v.tolist()) for s, vs in x.items() for i, v in enumerate(vs)]
+    rows += [(start, None), (start + dt.timedelta(days=9), [0.0, 0.0, 0.0])]
+    ddl = "ts timestamp, v array<double>"
+    spark.createDataFrame(rows[:200], ddl).write.parquet(f"{tmp_path}/in")
+    stream = J.source(spark, f"{tmp_path}/in", "`ts` timestamp, `v` array<double>", "parquet")
+    out = J.vector_drift_checks(stream, "ts", "v", ref)
+    J.run(out, f"{tmp_path}/out", f"{tmp_path}/check")
+    spark.createDataFrame(rows[200:], ddl).write.mode("append").parquet(f"{tmp_path}/in")
+    J.run(out, f"{tmp_path}/out", f"{tmp_path}/check")  # goes on where the first run stopped
+    got = {r.start: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    for s, vs in x.items():
+        z = np.cos(vs @ ref.frequencies + ref.phase) * np.sqrt(2 / len(ref.phase))
+        row = got[start + dt.timedelta(minutes=30 * s)]
+        assert row.n == 150 and row.distance == pytest.approx(((z.mean(0) - ref.means) ** 2).sum())
+        assert row.drift == (s == 1)

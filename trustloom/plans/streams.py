@@ -5,9 +5,10 @@ The landed input ends with one row far in the future, which closes every real wi
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from trustloom.operators import monitoring as M
+from trustloom.operators import mmd, monitoring as M
 from trustloom.functions import risk as R
 from trustloom.plans.aggregates import LEVELS_SQL, RISKY, scored_levels
 from trustloom.plans.quality import COMMON_RULES_SQL, FAULTY_SQL, faulty, quoted
@@ -161,6 +162,34 @@ def stream_drift_events(t):
         F.unix_seconds("start").alias("start"), "reason", F.get_json_object("details", "$.n").cast("bigint").alias("n"))
 
 
+VECTOR = ("value", "hour(ts)", "minute(ts)")
+
+
+def vector_drift_sql():
+    """The batch statistic of every slot, wave by wave; the waves are drawn as the operator draws them."""
+    rng = np.random.default_rng(42)
+    freq, phase = rng.normal(size=(len(VECTOR), mmd.FREQUENCIES)), rng.uniform(0, 2 * np.pi, mmd.FREQUENCIES)
+    wave = lambda j: "avg(cos((" + " + ".join(f"x{i} * ({float(freq[i, j])!r})" for i in range(len(VECTOR))) + (
+        f") / bandwidth + {float(phase[j])!r})) * {float(np.sqrt(2 / mmd.FREQUENCIES))!r} AS w{j}")
+    waves = ", ".join(map(wave, range(mmd.FREQUENCIES)))
+    gaps = " + ".join(f"(s.w{j} - r.w{j}) * (s.w{j} - r.w{j})" for j in range(mmd.FREQUENCIES))
+    columns = ", ".join(f"CAST({e} AS DOUBLE) AS x{i}" for i, e in enumerate(VECTOR))
+    return f"""WITH v AS (SELECT event_id, epoch_us(ts) // 1800000000 * 1800 AS start, {columns} FROM events WHERE value IS NOT NULL),
+ref AS (SELECT * FROM v WHERE event_id % 4 = 0),
+b AS (SELECT sqrt({' + '.join(f'var_pop(x{i})' for i in range(len(VECTOR)))}) AS bandwidth FROM ref),
+r AS (SELECT {waves} FROM ref, b), s AS (SELECT start, count(*) AS n, {waves} FROM v, b GROUP BY 1)
+SELECT start, n, {r6(gaps)} AS distance FROM s, r"""
+
+
+@query("stream_vector_drift", vector_drift_sql())
+def stream_vector_drift(t):
+    events = t.events().where("value IS NOT NULL").select("event_id", "ts", F.array(*[F.expr(e).cast("double") for e in VECTOR]).alias("v"))
+    ref = mmd.reference(events.where("event_id % 4 = 0"), "event_id", "v")
+    path = landed(t, events.select("ts", "v"), {"v": [0.0, 0.0, 0.0]})
+    return finished(t, J.vector_drift_checks(path, "ts", "v", ref)).select(
+        F.unix_seconds("start").alias("start"), "n", round6("distance").alias("distance"))
+
+
 @query("stream_rolling_performance", with_views(f"""
 SELECT prediction_id, platform, n AS window_count, {r6('precision')} AS precision, {r6('accuracy')} AS accuracy FROM perf""",
                                                 scored=True, extra=ROLL_SQL))

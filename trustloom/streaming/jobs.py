@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trustloom.operators import moderation as P, monitoring as M, quality as Q, ranking as K
+from trustloom.operators import mmd, moderation as P, monitoring as M, quality as Q, ranking as K
 from trustloom.operators.drift import PSI_LIMIT, SMOOTHING
 from trustloom.operators.ordered import group_key, row_numbers
 
@@ -97,6 +97,25 @@ def drift_checks(events: DataFrame, ts: str, value: str, cuts: Sequence[float],
     return slots.select(F.col("window.start").alias("start"), "n", index.alias("psi"), (index > limit).alias("drift"))
 
 
+def vector_drift_checks(events: DataFrame, ts: str, vector: str, ref: mmd.Reference, width: str = "30 minutes",
+                        delay: str = DELAY) -> DataFrame:
+    """Distance of the vectors of each closed slot from a stored reference, and whether it is beyond the reference's limit.
+
+    A slot's state is one sum per wave and a count, added up in each task first, so it grows neither with the rows nor with the
+    vectors' size. The distance is that of :func:`trustloom.operators.mmd.mmd_drift` between the reference and the slot's rows.
+    """
+    waves = mmd.wave_values(F.col(vector).cast("array<double>"), ref.frequencies, ref.phase)
+    rows = events.where(F.col(vector).isNotNull()).withWatermark(ts, delay).withColumn("_z", waves)
+    slots = rows.groupBy(F.window(ts, width)).agg(F.count("*").alias("n"), F.array(*[
+        F.sum(F.get("_z", F.lit(i))) for i in range(len(ref.means))]).alias("_sums"))
+    means = F.array(*map(F.lit, ref.means.tolist()))
+    gaps = F.zip_with("_sums", means, lambda s, m: (s / F.col("n") - m) * (s / F.col("n") - m))
+    distance = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x)
+    weight = F.col("n") * ref.n / (F.col("n") + ref.n)
+    return slots.withColumn("distance", distance).select(
+        F.col("window.start").alias("start"), "n", "distance", (F.col("distance") * weight > ref.limit).alias("drift"))
+
+
 def drift_events(checks: DataFrame, min_rows: int) -> DataFrame:
     """Rows that ask for retraining because the data have moved."""
     return checks.where((F.col("n") >= min_rows) & F.col("drift")).select(
