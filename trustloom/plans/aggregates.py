@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustloom.functions import risk as R, text as X
-from trustloom.operators import behaviour as B, drift as D, evaluation as E, features as FE, moderation as P, monitoring as M
+from trustloom.operators import behaviour as B, drift as D, evaluation as E, features as FE, moderation as P, monitoring as M, sketches as SK
 from trustloom.operators import ranking as K
 from trustloom.plans.joins import stats_sql
 from trustloom.plans.registry import query
@@ -420,6 +420,25 @@ def psi(t):
     return rounded(D.psi(long(t), C("cur")), ("psi",))
 
 
+@query("sketch_drift", f"""WITH {FEATURE_SQL},
+o AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) AS k, count(*) OVER (PARTITION BY feature) AS m
+ FROM long WHERE NOT cur AND value IS NOT NULL),
+q AS (SELECT DISTINCT feature, value FROM o JOIN (SELECT unnest(range(1, 10)) AS i) ON k = (i * m + 9) // 10),
+u AS (SELECT q.feature, q.value, count(*) FILTER (WHERE NOT cur AND l.value <= q.value) / count(*) FILTER (WHERE NOT cur) AS r,
+ count(*) FILTER (WHERE cur AND l.value <= q.value) / count(*) FILTER (WHERE cur) AS c FROM q JOIN long l USING (feature)
+ WHERE l.value IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT DISTINCT feature, CAST('inf' AS DOUBLE), 1.0, 1.0 FROM q),
+d AS (SELECT feature, r - coalesce(lag(r) OVER w, 0) + 1e-6 AS e, c - coalesce(lag(c) OVER w, 0) + 1e-6 AS a FROM u
+ WINDOW w AS (PARTITION BY feature ORDER BY value))
+SELECT feature, (SELECT count(*) FROM long x WHERE x.feature = d.feature AND x.cur AND x.value IS NOT NULL) AS n,
+ {r6('sum((a - e) * ln(a / e))')} AS psi FROM d GROUP BY feature""")
+def sketch_drift(t):
+    """The reference is sketched in slices and merged; with as many counters as here the index is exact at this size."""
+    rows, k = long(t), 1 << 15
+    days = SK.value_sketches(rows.where(~C("cur")).withColumn("day", F.pmod(F.xxhash64("value"), F.lit(7))), ["day"], k)
+    now = SK.value_sketches(rows.where("cur"), [], k)
+    return rounded(SK.stability(SK.merged_sketches(days, k), now).drop("drift"), ("psi",))
+
+
 KS_SQL = """v AS (SELECT feature, value, count(*) FILTER (WHERE NOT cur) AS r, count(*) FILTER (WHERE cur) AS c FROM long
  GROUP BY 1, 2),
 d AS (SELECT feature, max(abs(rr / ar - rc / ac)) AS d, max(ar) AS n, max(ac) AS m FROM (SELECT *, CAST(sum(r) OVER w AS DOUBLE)
