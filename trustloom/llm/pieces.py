@@ -12,6 +12,7 @@ import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -176,15 +177,16 @@ class Automaton:
         """Ids of a text whose spaces are written as marks, in one pass."""
         v = self.v
         last, size = [-1], [0]  # the best last piece up to each position, and its length
-        step, ends, at = self.step, self.ends, 0
+        step, hops, ends, at = self.step, self.hops, self.ends, 0
         if v.kind == "bpe":
             known, n = self.fits.get, len(v.pieces)
             for i, c in enumerate(text, 1):
-                at = step(at, c)
+                to = hops[at].get(c)
+                at = step(at, c) if to is None else to
                 for p, m in ends[at]:
                     left = last[i - m]
                     ok = known(left * n + p)
-                    if self.fit(left, p) if ok is None else ok:
+                    if ok or ok is None and self.fit(left, p):
                         last.append(p)
                         size.append(m)
                         break
@@ -354,11 +356,13 @@ def _digest_units(v: Vocabulary) -> tuple[Units, Units]:
     """Ids, number of byte ids and text of units, without and with a space before them; kept per worker process."""
     if v.key not in _DIGESTS:
         a, byte = automaton(v), set(v.bytes_at)
-        text = {i: v.pieces[i].replace(MARK, " ").encode() for i in v.plain} | {i: bytes([b]) for b, i in enumerate(v.bytes_at)}
+        text = dict.fromkeys(range(len(v.pieces)), b"") | {i: v.pieces[i].replace(MARK, " ").encode() for i in v.plain} | {
+            i: bytes([b]) for b, i in enumerate(v.bytes_at)}
 
         def unit(marked):
             ids = a.encode(marked)
-            return np.array(ids, "<u4").tobytes(), sum(i in byte for i in ids), b"".join([text.get(i, b"") for i in ids])
+            fell = 0 if byte.isdisjoint(ids) else sum(i in byte for i in ids)
+            return pack(f"<{len(ids)}I", *ids), fell, b"".join([text[i] for i in ids])
 
         def join(parts):
             ids, byts, texts = zip(*parts) if parts else ((),) * 3
