@@ -112,3 +112,18 @@ def test_pipeline_on_an_empty_table(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
         assert docs.count() == 0
+
+
+def test_stages_with_clashing_columns_and_odd_ids(spark, small):
+    """Names the stages use themselves, null ids and one id for different texts change nothing: rows go by their own text."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("row", F.monotonically_increasing_id())
+    odd = docs.withColumn("doc_id", F.when(F.col("row") % 5 == 0, None).when(F.col("row") % 5 == 1, 7).otherwise(F.col("doc_id")))
+    for name in ("_away", "_sha", "_id", "_document", "_kept", "_trusted", "key", "id"):
+        odd = odd.withColumn(name, F.col("row") + 1)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, odd, small)
+        assert out.columns == odd.columns and out.where("_sha = row + 1 AND id = row + 1").count() == out.count() > 0
+    rules = {r.row for r in corpus_pipeline.quality_rules(spark, odd, small).select("row").collect()}
+    assert rules == {r.row for r in corpus_pipeline.quality_rules(spark, docs, small).select("row").collect()}

@@ -63,6 +63,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def document_key(id_col: str, text_col: str):
+    """What tells documents apart: id and SHA-256 of the text, null counting as empty."""
+    return F.struct(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha"))
+
+
+def without(docs: DataFrame, away: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, whose document key is not a ``key`` of the stored table ``away``."""
+    if not away.limit(1).count():
+        return docs
+    name = unused(docs, "document")
+    marked = docs.withColumn(name, document_key(id_col, text_col))
+    away = away.select(F.col("key.id").alias(f"{name}_id"), F.col("key.sha").alias(f"{name}_sha"))
+    same = marked[name]["id"].eqNullSafe(away[f"{name}_id"]) & (marked[name]["sha"] == away[f"{name}_sha"])
+    return marked.join(away, same, "left_anti").drop(name)
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

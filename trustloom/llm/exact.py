@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trustloom.llm.common import BROADCAST_ROWS, dropped, small, stored
+from trustloom.llm.common import BROADCAST_ROWS, dropped, small, stored, unused
 
 PREFIX = 256
 
@@ -53,17 +53,18 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`copy_groups` keeps.
+    """The rows of ``docs``, all columns whatever their names, that :func:`copy_groups` keeps.
 
     Rows find their decision by id and content hash; rows that repeat both are one document and one of them stays.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    decided = stored(copy_groups(docs, id_col, text_col, carry={"_sha": F.sha2(text, 256)}), "decided")
-    kept = decided.where("kept").select(F.col("id").alias("_id"), F.col("_sha").alias("_kept_sha"))
+    decided = stored(copy_groups(docs, id_col, text_col, carry={"sha": F.sha2(text, 256)}), "decided")
     lost = decided.where("NOT kept").count()
     if not lost:
         return docs
-    repeats = decided.groupBy("id", "_sha").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    out = docs.withColumn("_sha", F.sha2(text, 256)).join(
-        kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return (out.dropDuplicates([id_col, "_sha"]) if repeats else out).drop("_sha")
+    name = unused(docs, "kept")
+    kept = decided.where("kept").select(F.col("id").alias(f"{name}_id"), F.col("sha").alias(f"{name}_sha"))
+    repeats = decided.groupBy("id", "sha").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    marked = docs.withColumn(name, F.sha2(text, 256))
+    out = marked.join(kept, marked[id_col].eqNullSafe(kept[f"{name}_id"]) & (marked[name] == kept[f"{name}_sha"]), "left_semi")
+    return (out.dropDuplicates([id_col, name]) if repeats else out).drop(name)

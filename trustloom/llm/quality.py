@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trustloom.llm.common import SPACES, WORDS, stored
+from trustloom.llm.common import SPACES, WORDS, document_key, stored, without
 
 ROUNDS = 25
 WINDOW = 5
@@ -136,12 +136,11 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
 
 def without_rejects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose document is kept.
+    """The rows of ``docs``, all columns whatever their names, whose document is kept.
 
-    Rows find their verdict by id. Rows that share an id are one document and go together if any of them is rejected; rows
-    without an id go if their text has fewer words than the base rule asks for, and stay otherwise.
+    Rows find their verdict by id and content hash, so null ids and different texts with one id are told apart; rows that repeat
+    both are one document. Null text has no words and goes. An empty table gives no rows.
     """
-    away = stored(verdicts(docs, id_col, text_col).where("NOT kept").select(F.col("id").alias("_away")).distinct(), "away")
-    out = docs.join(away, F.col(id_col) == F.col("_away"), "left_anti")
-    words = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), WORDS), ""))
-    return out.where(F.col(id_col).isNotNull() | (words >= 10))
+    keyed = docs.select(document_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    away = stored(verdicts(keyed, "key", "text").where("NOT kept").select(F.col("id").alias("key")).distinct(), "away")
+    return without(docs, away, id_col, text_col)

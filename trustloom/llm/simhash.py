@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trustloom.llm.common import dropped, stored, unused, word_blocks
+from trustloom.llm.common import document_key, dropped, stored, without, word_blocks
 from trustloom.llm.components import components
 from trustloom.llm.hamming import links
 
@@ -72,15 +72,9 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     find their decision by id and content hash, so null ids and different texts with one id are told apart; rows that repeat
     both are one document. Null text counts as empty. An empty table gives no rows; other columns may have any names.
     """
-    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    none, row_id = unused(docs, "away"), F.col(id_col)
-    keyed = docs.select(F.struct(row_id.isNull().alias("none"), row_id.alias("id"), sha.alias("sha")).alias("id"),
+    key = document_key(id_col, text_col)
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), key["id"].alias("id"), key["sha"].alias("sha")).alias("id"),
                         F.col(text_col).alias("text"))
     groups = near_groups(keyed, "id", "text", shingle=shingle)
-    away = stored(groups.where("id <> component_id").select("id").distinct(), "away")
-    if not away.limit(1).count():
-        return docs
-    away = away.select(F.col("id.id").alias(f"{none}_id"), F.col("id.sha").alias(f"{none}_sha"))
-    marked = docs.withColumn(none, sha)
-    same = marked[id_col].eqNullSafe(away[f"{none}_id"]) & (marked[none] == away[f"{none}_sha"])
-    return marked.join(away, same, "left_anti").drop(none)
+    away = groups.where("id <> component_id").select(F.struct("id.id", "id.sha").alias("key")).distinct()
+    return without(docs, stored(away, "away"), id_col, text_col)
