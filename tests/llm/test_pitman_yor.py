@@ -176,3 +176,19 @@ def test_blocks_and_edges(spark, monkeypatch):
     only = [i for i in range(50) if held(i)][:2]
     for r in P.score(frame(spark, [(i, "a b") for i in only])).collect():
         assert (r.train_tokens, r.n_known, r.n_tokens) == (0, 0, 3) and r.base_score == 0 and abs(r.score) < 1e-9
+
+
+def test_restaurants_are_whole_words(spark):
+    """Words of one ending are different contexts."""
+    ids = [i for i in range(200) if not held(i)]
+    rows = [(i, "cat sleeps" if k % 2 else "bat flies") for k, i in enumerate(ids)]
+    out = [i for i in range(200, 300) if held(i)][:4]
+    probes = dict(zip(out, ["cat sleeps", "bat flies", "cat flies", "bat sleeps"]))
+    got = {probes[r.id]: r.score for r in P.score(frame(spark, [*rows, *probes.items()])).collect() if r.id in probes}
+    assert min(got["cat sleeps"], got["bat flies"]) > max(got["cat flies"], got["bat sleeps"]) + 1
+
+
+def test_packed_parts():
+    parts = [b"ab", np.array([1, 70_000, 3], np.uint64), np.array([255], np.uint32), np.array([0.5, -2.0]), np.zeros(0, np.uint32)]
+    got = P.unpack(P.pack(*parts), "b u8 u4 f8 u4")
+    assert got[0] == b"ab" and all((a == b).all() and a.dtype == b.dtype for a, b in zip(got[1:], parts[1:]))
