@@ -128,3 +128,19 @@ def test_memo_keeps_what_is_frequent(monkeypatch):
     for i in range(200):
         assert units["often"] == 5 and units[f"rare{i}"] == len(f"rare{i}")
     assert asked.count("often") == 1 and len(asked) == 201 and len(units) + len(units.old) <= 20
+
+
+@pytest.mark.parametrize("head", [1, 2, 4])
+def test_beginnings_are_walked_once(library, vocab, monkeypatch, head):
+    """Texts that begin alike share the ways through their beginning, and get the library's ids."""
+    monkeypatch.setattr(pieces, "HEAD", head)
+    monkeypatch.setattr(pieces, "MEMO", 60)
+    auto, walked = pieces.Automaton(vocab), []
+    walk = auto._walk
+    auto._walk = lambda text, start, *rest: walked.append(text[start:]) or walk(text, start, *rest)
+    for word in ["thening", "thenings", "theninger", "thening"]:
+        assert auto.encode(pieces.MARK + word) == library.encode(word), word
+    assert walked.count(f"{pieces.MARK}thening"[:head]) == 1 and len(walked) == 5
+    for word in [t for t in samples() if t and t.isalpha()][:60]:
+        assert auto.encode(pieces.MARK + word) == library.encode(word), word
+        assert len(auto.heads) <= 10

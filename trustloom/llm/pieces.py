@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"  # stands for a space inside pieces
 MEMO = 300_000  # kept units
+HEAD = 6  # characters of a text whose ways are kept, since many texts begin alike
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,7 @@ class Automaton:
         own = sorted((p for p, (x, _) in self.rank.items() if len(p) > 1 and often[x] == 1), key=lambda p: -self.rank[p][0])
         self.order, self.split = {p: i for i, p in enumerate(own)}, {}
         self.fits: dict[int, bool] = {}
+        self.heads: dict[str, tuple[int, list[int], list[int]]] = {}
         for p, (_, i) in self.rank.items():
             at = 0
             for c in p:
@@ -173,26 +175,41 @@ class Automaton:
             else:
                 return True
 
+    def _walk(self, text: str, start: int, at: int, last: list[int], size: list[int]) -> int:
+        """The node reached from ``at`` by the text from ``start`` on; the open way to each position is added to ``last``, ``size``."""
+        step, hops, ends, known, n = self.step, self.hops, self.ends, self.fits.get, len(self.v.pieces)
+        for i in range(start, len(text)):
+            c = text[i]
+            to = hops[at].get(c)
+            at = step(at, c) if to is None else to
+            for p, m in ends[at]:
+                left = last[i + 1 - m]
+                ok = known(left * n + p)
+                if ok or ok is None and self.fit(left, p):
+                    last.append(p)
+                    size.append(m)
+                    break
+            else:
+                last.append(-1)
+                size.append(1)
+        return at
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text whose spaces are written as marks, in one pass."""
         v = self.v
         last, size = [-1], [0]  # the best last piece up to each position, and its length
-        step, hops, ends, at = self.step, self.hops, self.ends, 0
+        step, ends, at = self.step, self.ends, 0
         if v.kind == "bpe":
-            known, n = self.fits.get, len(v.pieces)
-            for i, c in enumerate(text, 1):
-                to = hops[at].get(c)
-                at = step(at, c) if to is None else to
-                for p, m in ends[at]:
-                    left = last[i - m]
-                    ok = known(left * n + p)
-                    if ok or ok is None and self.fit(left, p):
-                        last.append(p)
-                        size.append(m)
-                        break
-                else:
-                    last.append(-1)
-                    size.append(1)
+            if len(text) <= HEAD:
+                self._walk(text, 0, 0, last, size)
+            else:
+                if (head := self.heads.get(text[:HEAD])) is None:
+                    if len(self.heads) >= MEMO // 6:
+                        self.heads.clear()
+                    at = self._walk(text[:HEAD], 0, 0, last, size)
+                    head = self.heads[text[:HEAD]] = at, last, size
+                at, last, size = head[0], head[1][:], head[2][:]
+                self._walk(text, HEAD, at, last, size)
         else:
             unknown, best = min((v.scores[i] for i in v.plain), default=0.0) - 10, [0.0]
             for i, c in enumerate(text, 1):
