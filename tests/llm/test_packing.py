@@ -135,3 +135,14 @@ def test_digest(spark):
     ids = [*Tokenizer.from_file(PATH).encode("a b", add_special_tokens=False).ids, 2]
     assert r.c == zlib.crc32(np.array(ids, "<u4").tobytes())
     assert json.loads(SPEC)["model"]["type"] == "BPE"
+
+
+def test_memo_keeps_what_is_frequent(monkeypatch):
+    """Rare parts push each other out; a part that comes again and again is encoded once, whatever mark follows."""
+    monkeypatch.setattr(packing, "MEMO", 20)
+    asked = []
+    ids = packing._Ids(lambda text: text.encode(), lambda lead, word: asked.append(word) or (lead + word).encode())
+    for i in range(200):
+        rare = "".join(chr(97 + int(d)) for d in str(i)) + "zz"
+        assert ids["often"] == b" often" and ids["often,"][:6] == b" often" and ids[rare] == b" " + rare.encode()
+    assert asked.count("often") == 1 and len(ids) + len(ids.old) <= 20

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from struct import pack as packed_ids
+from struct import Struct, pack as packed_ids
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from trustloom.llm.common import dropped, stored
 
 SIZE, END = 1024, 2
 NODES = 2000  # fillings the search may try; the best-fit plan stands where it finds nothing better
-MEMO = 300_000  # kept parts; a memo starts again when it is full
+MEMO = 300_000  # kept parts of a memo, in two generations: the older one goes when the younger is full
 
 
 def _units_are_apart(tokenizer: str) -> bool:
@@ -38,6 +38,9 @@ def _units_are_apart(tokenizer: str) -> bool:
 _WORD_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 
 
+_ENDS = frozenset(".,;:!?")
+
+
 class _Ids(dict):
     """Ids of a part (as little-endian bytes) with ``lead`` before it, computed by the tokenizer at first use. Parts are
     put together from smaller ones where the pattern cuts anyway: around a line end between two characters, and between
@@ -46,12 +49,19 @@ class _Ids(dict):
     def __init__(self, encode, encode_word, lead: str = " ", bare: _Ids | None = None):
         super().__init__()
         self.encode, self.encode_word, self.lead, self.bare = encode, encode_word, lead, self if bare is None else bare
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= MEMO:
+        if part[-1:] in _ENDS and (word := part[:-1]).isalpha():  # as cheap as looking it up, so not kept
+            return self[word] + self.bare[part[-1]]
+        if len(self) >= MEMO // 2:
+            self.old = dict(self)
             self.clear()
-        if part.isalpha():
-            got = self.encode_word(self.lead + part)
+        got = self.old.get(part)
+        if got is not None:
+            pass
+        elif part.isalpha():
+            got = self.encode_word(self.lead, part)
         elif not part or part[0].isspace():  # runs of white space are not cut
             raise KeyError(part)
         elif (word := _WORD_MARKS.fullmatch(part)) and word[1].isalpha():
@@ -82,14 +92,17 @@ def _memos(tokenizer: str) -> tuple[_Ids, _Ids]:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(tokenizer)
-        model, letters = tok.model, str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        tokenize, letters = tok.model.tokenize, str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        leads, packs = {x: x.translate(letters) for x in ("", " ")}, [Struct(f"<{n}I").pack for n in range(64)]
 
         def encode(text):
             return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        def encode_word(text):  # the pattern leaves it whole, so only the tokenizer's merges are needed
-            found = model.tokenize(text.encode().decode("latin-1").translate(letters))
-            return packed_ids(f"<{len(found)}I", *[t.id for t in found])
+        def encode_word(lead, word):  # the pattern leaves it whole, so only the tokenizer's merges are needed
+            if not word.isascii():  # letters of ASCII are written as themselves
+                word = word.encode().decode("latin-1").translate(letters)
+            ids = [t.id for t in tokenize(leads[lead] + word)]
+            return packs[len(ids)](*ids) if len(ids) < len(packs) else packed_ids(f"<{len(ids)}I", *ids)
 
         bare = _Ids(encode, encode_word, "")
         bare.lines = encode("\n")
