@@ -146,3 +146,12 @@ def test_memo_keeps_what_is_frequent(monkeypatch):
         rare = "".join(chr(97 + int(d)) for d in str(i)) + "zz"
         assert ids["often"] == b" often" and ids["often,"][:6] == b" often" and ids[rare] == b" " + rare.encode()
     assert asked.count("often") == 1 and len(ids) + len(ids.old) <= 20
+
+
+def test_checksums_stand_for_ids(spark):
+    rows = [(i, t) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = packing.token_pieces(df, SPEC).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    short = packing.token_pieces(df, SPEC, checksums=True)
+    assert short.schema == whole.schema and sorted(short.collect()) == sorted(whole.collect())
+    assert packing.token_pieces(df.where("false"), SPEC, checksums=True).count() == 0

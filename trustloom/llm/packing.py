@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from struct import Struct, pack as packed_ids
 
 import numpy as np
@@ -111,14 +112,14 @@ def _memos(tokenizer: str) -> tuple[_Ids, _Ids]:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE,
-                 end: int = END) -> DataFrame:
+                 end: int = END, checksums: bool = False) -> DataFrame:
     """``id, piece, start, length, ids`` per piece: the ids of a text by the tokenizer (its JSON), then ``end``, cut into pieces.
 
     Only documents of more than ``size`` ids are cut: all pieces have ``size`` ids, but the first takes what is left over.
-    ``ids`` are little-endian unsigned 32-bit. Null text counts as empty and gives the ``end`` id alone; rows that repeat
+    ``ids`` are little-endian unsigned 32-bit; with ``checksums`` their CRC-32, ``ids_crc32``, stands in their place. Null text counts as empty and gives the ``end`` id alone; rows that repeat
     come out as often as they come in; an empty table stays empty.
     """
-    apart = _units_are_apart(tokenizer)
+    apart, (name, kept) = _units_are_apart(tokenizer), ("ids_crc32", "long") if checksums else ("ids", "binary")
 
     def run(batches):
         bare, spaced = _memos(tokenizer)
@@ -139,13 +140,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 cuts = [0, *range(head, n + 1, size)]
                 rows += [(k, p, a, b - a, ids[4 * a:4 * b]) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             k, p, a, n, ids = zip(*rows) if rows else ((),) * 5
+            last_column = pa.array(map(zlib.crc32, ids), pa.int64()) if checksums else pa.array(ids, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(k, pa.int64())), pa.array(p, pa.int32()), pa.array(a, pa.int64()),
-                 pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["id", "piece", "start", "length", "ids"])
+                 pa.array(n, pa.int64()), last_column], ["id", "piece", "start", "length", name])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(
-        run, f"id {kind}, piece int, start long, length long, ids binary")
+        run, f"id {kind}, piece int, start long, length long, {name} {kept}")
 
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths that share a sequence, number of such sequences

@@ -42,9 +42,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of the documents in sequences of 1024 ids; of the ids themselves only the checksum is kept."""
     with open(_file("byte_bpe_50k.json"), encoding="utf-8") as f:
-        cut = packing.token_pieces(docs, f.read())
-    return packing.pack(cut.select(F.col("id").alias("doc_id"), "piece", "start", "length",
-                                   F.crc32("ids").alias("ids_crc32")))
+        cut = packing.token_pieces(docs, f.read(), checksums=True)
+    return packing.pack(cut.withColumnRenamed("id", "doc_id"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
