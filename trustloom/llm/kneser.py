@@ -1,9 +1,8 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and thresholds per language.
+"""Quality classifier: bits per character under a Kneser-Ney model of trusted text, and thresholds per language.
 
-The model is over classes of characters (``CLASSES`` of them, given by a rule), of order ``ORDER``. So there are at most
-CLASSES ** ORDER n-grams however large the corpus is: that bound is what lets every task hold the finished model. The
-counts cover all trusted text: tasks count their n-grams, partial counts are added by n-gram, and the joins of each
-order's counts with its context's counts (both dealt by context) give discounted probabilities and back-off weights.
+``classify`` uses the model over whole characters (``characters``), whose tables stay in Spark. The functions ``grams``, ``counts``,
+``probabilities`` and ``scores`` here are a smaller model over classes of characters (``CLASSES`` of them, given by a rule, order
+``ORDER``), for callers that want a table of fixed size; no query uses it.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trustloom.llm import characters
+from trustloom.llm.characters import discounts
 from trustloom.llm.common import document_key, dropped, small, stored, without
 
 ORDER, EDGE = 4, 0
@@ -84,13 +85,6 @@ def counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3+ from the numbers of n-grams seen once to four times."""
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    ratios = (1, n2, n1), (2, n3, n2), (3, n4, n3)
-    return tuple(min(max(k - (k + 1) * y * b / a, 0.0), k) if a else min(k, 1) * 0.5 for k, b, a in ratios)
-
-
 def probabilities(gram_counts: DataFrame) -> np.ndarray:
     """Probability of the last class of each n-gram given the ones before, for all CLASSES ** ORDER n-grams.
 
@@ -164,18 +158,11 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
                        (F.col(id_col) if key is None else key).alias("key"))
-    id_col, text_col, lang_col = "id", "text", "lang"
     n = trusted.count()
-    near, half = small(trusted, n // 10), F.pmod(F.xxhash64(F.col(id_col)), F.lit(2))  # 8 bytes a row: 10 x the usual rows
-    known = F.col(id_col) == F.col("_trusted")
-    chosen = docs.join(near, known, "left_semi")
-    halves = [stored(counts(chosen.where(half == k), text_col), "half") for k in (0, 1)]
-    p = probabilities(halves[0].unionByName(halves[1]).groupBy("gram").agg(F.sum("n").alias("n")))
-    parts = [scores(docs.join(near, known, "left_anti"), p, "key", text_col, lang_col).withColumn("good", F.lit(False))]
-    parts += [scores(chosen.where(half == k), probabilities(halves[1 - k]), "key", text_col, lang_col).withColumn("good", F.lit(True))
-              for k in (0, 1)]
-    rows = stored(parts[0].unionByName(parts[1]).unionByName(parts[2]), "scores")
-    dropped(*halves)
+    half = F.when(F.col("_trusted").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"))
+    marked = docs.join(small(trusted, n // 10), F.col("id") == F.col("_trusted"), "left")  # 8 bytes a row: 10 x the usual rows
+    rows = characters.scores(marked.select(F.col("key").alias("id"), F.col("lang").cast("string").alias("lang"),
+                                           F.col("text").alias("body"), half.alias("half")))
     good, cut = rows.where("good"), F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY bits)") * slack
     limits = stored(good.where("lang IS NOT NULL").groupBy("lang").agg(cut.alias("own")), "limits")  # on the grid of the scores, so of bounded size
     every = good.agg(cut.alias("x")).first()["x"]
