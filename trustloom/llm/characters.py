@@ -4,7 +4,8 @@ An n-gram is ``ORDER`` characters, 21 bits each, in two numbers: ``lo`` the last
 alphabet, and the tables grow with the different n-grams of the corpus.
 
 How the data moves. Tasks cut their documents into blocks of about ``BLOCK`` characters and write each block's texts, packed, and
-its different n-grams with their counts in both halves of the trusted texts. Counts are added by n-gram, those of the lower orders
+its different n-grams with their counts in both halves of the trusted texts. Beside its input a task holds a few steps of ``STEP``
+characters, its different n-grams and, while it scores, about two bytes a character. Counts are added by n-gram, those of the lower orders
 by suffix; windows over each context give totals and discounts, joins by suffix give the lower order's probabilities. Blocks ask
 for their n-grams by a join with the highest order and meet the answers by block number. A context has at most one row per
 character that follows it, an n-gram one per block, so no key is hot. Neither driver nor tasks hold the model.
@@ -27,6 +28,7 @@ from trustloom.llm.pitman_yor import pack, unpack
 
 ORDER, EDGE, BITS = 5, 0, 21
 BLOCK, STEP = 1 << 25, 1 << 20  # characters of a block, and those looked at together
+MERGED = 8  # steps whose n-grams are put together at once
 ASKED = 1 << 20  # answers packed together
 MODELS = (0, 1, 2)  # first half, second half, both
 LOW = 3 * BITS
@@ -99,6 +101,40 @@ def _union(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return hi[order], lo[order], np.split(place[at], np.cumsum([len(x) for x, _ in found])[:-1])
 
 
+NONE = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _counted(texts: Iterable[str], half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hi, lo`` of the different n-grams in order, and their counts in texts whose ``half`` is 0, 1 and 2."""
+    found, counts = [NONE], [np.zeros((3, 0), np.int64)]
+
+    def merge():
+        hi, lo, places = _union(found)
+        total = np.zeros((3, len(hi)), np.int64)
+        for place, some in zip(places, counts):
+            total[:, place] += some  # a list holds an n-gram once
+        found[:], counts[:] = [(hi, lo)], [total]
+
+    for hi, lo, owner in grams(texts):
+        hi, lo, at = _numbered(hi, lo)
+        found.append((hi, lo))
+        counts.append(np.stack([np.bincount(at[half[owner] == k], minlength=len(hi)) for k in (0, 1, 2)]))
+        if len(found) > MERGED:
+            merge()
+    merge()
+    return *found[0], counts[0]
+
+
+def _unpacked(body: bytes, sizes: list[int]) -> Iterator[str]:
+    """Texts of a block one after another, decompressed about ``STEP`` bytes at a time; ``sizes`` are their bytes."""
+    stream, held, at = bz2.BZ2Decompressor(), b"", 0
+    for n in sizes:
+        while len(held) - at < n:
+            held, at, body = held[at:] + stream.decompress(body, max(STEP, n - len(held) + at)), 0, b""
+        yield held[at:at + n].decode("utf-8", "surrogatepass")
+        at += n
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Rows of blocks of ``docs`` (``id, lang, body, half``; half 0 or 1 of the trusted ones, null for others).
 
@@ -108,19 +144,19 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def flush(block, slices):
         ids, langs = (pa.concat_arrays([s.column(k) for s in slices]) for k in (0, 1))
-        texts = [t or "" for s in slices for t in s.column(2).to_pylist()]
         half = np.concatenate([s.column(3).fill_null(2).to_numpy(zero_copy_only=False) for s in slices]).astype(np.uint8)
-        found, n = [], []
-        for hi, lo, owner in grams(texts):
-            hi, lo, at = _numbered(hi, lo)
-            found.append((hi, lo))
-            n.append([np.bincount(at[half[owner] == k], minlength=len(hi)) for k in (0, 1, 2)])
-        hi, lo, places = _union(found)
-        total = np.zeros((3, len(hi)), np.int64)
-        for place, some in zip(places, n):
-            for k in (0, 1, 2):
-                total[k, place] += some[k]  # a list holds an n-gram once
-        body = pack(bz2.compress("".join(texts).encode("utf-8", "surrogatepass")), np.array([len(t) for t in texts], np.uint32), half)
+        squeeze, body, sizes = bz2.BZ2Compressor(), [], []
+
+        def texts():
+            for t in (t for s in slices for t in s.column(2)):
+                text = t.as_py() or ""
+                data = text.encode("utf-8", "surrogatepass")
+                sizes.append(len(data))
+                body.append(squeeze.compress(data))
+                yield text
+
+        hi, lo, total = _counted(texts(), half)
+        body = pack(b"".join([*body, squeeze.flush()]), np.array(sizes, np.uint32), half)
         one = pa.array([0, len(ids)], pa.int32())
         yield pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), *[pa.nulls(1, t) for t in (pa.int32(), *[pa.int64()] * 5)],
@@ -234,6 +270,62 @@ def packed(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "block long, answers binary")
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers below 2^32, compressed with bytes of equal weight together."""
+    return pa.Codec("lz4").compress(np.concatenate([(x >> 8 * k).astype(np.uint8) for k in range(4)]), asbytes=True)
+
+
+def _restored(data: bytes, n: int) -> np.ndarray:
+    first, *rest = np.frombuffer(pa.Codec("lz4").decompress(data, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    out = first.astype(np.uint32)
+    for k, x in enumerate(rest, 1):
+        out |= x.astype(np.uint32) << 8 * k
+    return out
+
+
+def _scored(block: pa.Table, values: pa.Table) -> pa.Table:
+    """Scores of a block's documents, from its row and the answers to its n-grams.
+
+    The place of an n-gram is known when all have been read; until then each character has its number within its step, packed.
+    """
+    body, sizes, half = unpack(block.column("body")[0].as_py(), "b u4 u1")
+    model, length = np.array([1, 0, 2])[half], []
+    found, places, chunks = [NONE], [], []
+
+    def merge():
+        hi, lo, (known, *new) = _union(found)
+        places[:] = [x.astype(np.uint32) for x in (*[known[p] for p in places], *new)]
+        found[:] = [(hi, lo)]
+
+    def texts():
+        for text in _unpacked(body, sizes.tolist()):
+            length.append(len(text))
+            yield text
+
+    for hi, lo, owner in grams(texts()):
+        hi, lo, index = _numbered(hi, lo)
+        found.append((hi, lo))
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        chunks.append((_squeezed(index), owner[first], first, len(index)))
+        if len(found) > MERGED:
+            merge()
+    merge()
+    table, known = np.zeros((3, len(found[0][0])), np.float32), 0
+    for answer in values.column("answers"):
+        place, *got = unpack(answer.as_py(), "u4 f4 f4 f4")
+        table[:, np.cumsum(place, dtype=np.int64)] = got
+        known += len(place)
+    if known != table.shape[1]:
+        raise ValueError(f"{known} answers to {table.shape[1]} n-grams of a block")
+    total, n = np.zeros(len(length)), np.array(length, np.int64) + 1
+    for (index, owner, first, m), place in zip(chunks, places):
+        events = np.repeat(model[owner], np.diff(first, append=m))
+        total[owner] += np.add.reduceat(table[events, place[_restored(index, m)]].astype(np.float64), first)
+    ids, langs = (block.column(c).combine_chunks().flatten() for c in ("ids", "langs"))
+    return pa.Table.from_arrays([ids, langs, pa.array(n), pa.array(np.round(total / n, 3)), pa.array(half < 2)],
+                                ["id", "lang", "n_events", "bits", "good"])
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """``id, lang, n_events, bits, good`` of every row of ``docs`` (``id, lang, body, half``), as a stored table.
 
@@ -254,35 +346,9 @@ def scores(docs: DataFrame) -> DataFrame:
     asked.scratch = f"{table.scratch}/part=1"
     dropped(asked, p)
 
-    def run(block: pa.Table, values: pa.Table) -> pa.Table:
-        body, length, half = unpack(block.column("body")[0].as_py(), "b u4 u1")
-        body, at = bz2.decompress(body).decode("utf-8", "surrogatepass"), np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-        model = np.array([1, 0, 2])[half]
-        found, chunks = [], []
-        for hi, lo, owner in grams(body[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())):
-            hi, lo, index = _numbered(hi, lo)
-            found.append((hi, lo))
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            chunks.append((index, owner[first], first))
-        hi, lo, places = _union(found)
-        table, known = np.zeros((3, len(hi)), np.float32), 0
-        for answer in values.column("answers"):
-            place, *got = unpack(answer.as_py(), "u4 f4 f4 f4")
-            table[:, np.cumsum(place, dtype=np.int64)] = got
-            known += len(place)
-        if known != len(hi):
-            raise ValueError(f"{known} answers to {len(hi)} n-grams of a block")
-        total, n = np.zeros(len(length)), length.astype(np.int64) + 1
-        for (index, owner, first), place in zip(chunks, places):
-            events = np.repeat(model[owner], np.diff(first, append=len(index)))
-            total[owner] += np.add.reduceat(table[events, place[index]].astype(np.float64), first)
-        ids, langs = (block.column(c).combine_chunks().flatten() for c in ("ids", "langs"))
-        return pa.Table.from_arrays([ids, langs, pa.array(n), pa.array(np.round(total / n, 3)), pa.array(half < 2)],
-                                    ["id", "lang", "n_events", "bits", "good"])
-
     rows = table.where("part = 0").select("block", "ids", "langs", "body").groupBy("block").cogroup(
         answers.groupBy("block")).applyInArrow(
-        run, f"id {kind.simpleString()}, lang string, n_events long, bits double, good boolean")
+        _scored, f"id {kind.simpleString()}, lang string, n_events long, bits double, good boolean")
     out = stored(rows, "scores")
     dropped(table, answers)
     return out
