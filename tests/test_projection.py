@@ -35,3 +35,20 @@ def test_clustering_on_the_projection(spark, monkeypatch, block_rows):
 
 def test_empty_graph(spark):
     assert projection.co_review_clustering(spark.createDataFrame([], "user string, product string"), "user", "product").count() == 0
+
+
+def test_few_products_need_no_links(spark, monkeypatch):
+    """Up to a number of products the work is that of their subsets; one more, and sets meet in blocks again."""
+    rng = random.Random(8)
+    rows = [(f"u{i}", f"p{p}") for i in range(150) for p in rng.sample(range(7), rng.choice((1, 1, 2, 3, 5)))] + [(None, "p9"), ("u1", None)]
+    df = spark.createDataFrame(rows, "user string, product string")
+    want, used = brute(rows), []
+    monkeypatch.setattr(projection, "_by_lattice", lambda *a, f=projection._by_lattice: used.append("lattice") or f(*a))
+    monkeypatch.setattr(projection, "_by_links", lambda *a, f=projection._by_links: used.append("links") or f(*a))
+    for most in (7, 6):
+        monkeypatch.setattr(projection, "LATTICE", most)
+        got = {r.user: (r.neighbours, r.triangles, r.clustering) for r in projection.co_review_clustering(df, "user", "product").collect()}
+        assert got.keys() == want.keys()
+        for u, (d, t, c) in want.items():
+            assert got[u][:2] == (d, t) and got[u][2] == pytest.approx(c)
+    assert used == ["lattice", "links"]
