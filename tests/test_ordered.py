@@ -83,3 +83,14 @@ def test_null_groups_stay(spark):
     assert sums == {("a", 1): 10, ("a", 2): 23, (None, 1): 11, (None, 2): 37}
     mid = {r["g"]: r["q0"] for r in O.quantiles(df, ["g"], "t", [0.5], n=3).collect()}
     assert mid == {"a": 1.5, None: 2.0}
+
+
+def test_positions_where_the_second_key_is_a_text(spark):
+    """More shards than first keys: a frequent one is cut along texts, in their order, whatever they begin with; null texts too."""
+    rows = [(h, f"{p}{i}") for h in (1, 2, 3) for p in ("product_src", "é", "9", "10", "") for i in range(9)] + [(2, "x"), (2, None)]
+    df = spark.createDataFrame(rows, "h long, t string")
+    for order in (["h", "t"], ["t", "h"]):
+        key = lambda r: tuple((r[c] is not None, r[c].encode() if isinstance(r[c], str) else r[c] or 0) for c in order)  # noqa: B023, E731
+        got = sorted(O.row_numbers(df.where("t is not null"), [], order, 50).collect(), key=lambda r: r.rn)
+        assert [r.rn for r in got] == list(range(1, len(rows))) and got == sorted(got, key=key)
+    assert O.row_numbers(df, [], ["h", "t"], 50).agg({"rn": "max"}).first()[0] == len(rows)
